@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm.language_id import op7_language_id
 from pagemill.llm.packing import op9_best_fit_packing
 from pagemill.llm.token_planes import op4_token_planes
 
@@ -13,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op4_token_planes": op4_token_planes,
+    "op7_language_id": op7_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
