@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm.language_id import op7_language_id
 from pagemill.llm.packing import op9_best_fit_packing
 from pagemill.llm.token_planes import op4_token_planes
+from pagemill.llm.warc import op10_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,18 @@ QUERIES: dict[str, Query] = {
     "op4_token_planes": op4_token_planes,
     "op7_language_id": op7_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), q AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS largest FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN largest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN largest <> page_id THEN largest END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+        FROM q
+    """,
+}

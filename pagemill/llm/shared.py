@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
@@ -44,3 +45,8 @@ def create_folder(uri: str) -> None:
 def salted(name: str) -> str:
     """A file name that no other attempt at the same task gives; only names that a finished task reports are read."""
     return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
+def one_each(files: DataFrame, key: str = "file", most: int = 20_000) -> DataFrame:
+    """A manifest dealt out so that each file is a task of its own (up to `most` tasks); a given number isn't coalesced."""
+    return files.repartition(min(max(files.count(), 1), most), F.col(key))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import create_folder, file_system, salted, shared_folder, written
+from pagemill.llm.shared import create_folder, file_system, one_each, salted, shared_folder, written
 from pagemill.llm.tokens import encoded, tokenizer_path
 
 MAGIC = b"TOKPLN01"
@@ -172,8 +172,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
-    placed = placed.repartition(F.col("file"))
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return one_each(placed).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
