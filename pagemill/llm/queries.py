@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm.language_id import op7_language_id
 from pagemill.llm.multiset_hash import op5_multiset_hash
 from pagemill.llm.packing import op9_best_fit_packing
+from pagemill.llm.secrets import op8_secret_scan
 from pagemill.llm.token_planes import op4_token_planes
 from pagemill.llm.warc import op10_warc
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_planes": op4_token_planes,
     "op5_multiset_hash": op5_multiset_hash,
     "op7_language_id": op7_language_id,
+    "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc": op10_warc,
 }
