@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.decontamination import op2_benchmark_decontamination
 from pagemill.llm.language_id import op7_language_id
+from pagemill.llm.minhash_join import op6_minhash_join
 from pagemill.llm.multiset_hash import op5_multiset_hash
 from pagemill.llm.packing import op9_best_fit_packing
 from pagemill.llm.secrets import op8_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_token_planes": op4_token_planes,
     "op5_multiset_hash": op5_multiset_hash,
+    "op6_minhash_join": op6_minhash_join,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
