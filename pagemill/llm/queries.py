@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.decontamination import op2_benchmark_decontamination
 from pagemill.llm.language_id import op7_language_id
+from pagemill.llm.line_dedup import op1_line_dedup
 from pagemill.llm.minhash_join import op6_minhash_join
 from pagemill.llm.multiset_hash import op5_multiset_hash
 from pagemill.llm.packing import op9_best_fit_packing
@@ -18,6 +19,7 @@ from pagemill.llm.warc import op10_warc
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_token_planes": op4_token_planes,
     "op5_multiset_hash": op5_multiset_hash,
