@@ -13,6 +13,7 @@ from pagemill.llm.minhash_join import op6_minhash_join
 from pagemill.llm.multiset_hash import op5_multiset_hash
 from pagemill.llm.packing import op9_best_fit_packing
 from pagemill.llm.secrets import op8_secret_scan
+from pagemill.llm.suffix_dedup import op3_suffix_dedup
 from pagemill.llm.token_planes import op4_token_planes
 from pagemill.llm.warc import op10_warc
 
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_planes": op4_token_planes,
     "op5_multiset_hash": op5_multiset_hash,
     "op6_minhash_join": op6_minhash_join,
