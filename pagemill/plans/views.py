@@ -24,10 +24,13 @@ def big_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as processing runs."""
-    e = table(spark, sf_dir, "events")
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(e: DataFrame) -> DataFrame:
     k = F.col("event_id")
     message = F.when(k % 7 == 0, "HTTP 429 Too Many Requests").when(k % 11 == 0, "error 3310: file could not be fetched from URL").when(F.col("event_type") == "error", "boom")
-    return e.select(k.alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("original_file"), F.col("value").alias("size_mb"), (k % 50).alias("pages"), (k % 3).cast("double").alias("upload_s"), (k % 5).cast("double").alias("process_s"), (k % 2).cast("double").alias("save_s"), (k % 9 + 1).cast("double").alias("total_s"), message.alias("error"), "ts")
+    return e.select(k.alias("run_id"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("original_file"), F.col("value").alias("size_mb"), (k % 50).alias("pages"), (k % 3).cast("double").alias("upload_s"), (k % 5).cast("double").alias("process_s"), (k % 2).cast("double").alias("save_s"), (k % 9 + 1).cast("double").alias("total_s"), message.alias("error"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
