@@ -68,23 +68,40 @@ def pair_units(rows: DataFrame, key: str, node: str, most: int) -> DataFrame:
     return rest.unionByName(here)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows of equal key, of a partition sorted by them; holds a batch and the run that goes on from it."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, where each group begins, its size) of a partition sorted by keys, a batch at a time.
+
+    The last group of a batch waits for the next batch, as it may go on there.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        change = np.zeros(table.num_rows, bool)
-        for k in keys:
-            values = table.column(k).to_numpy()
-            change[1:] |= values[1:] != values[:-1]
-        begin = np.concatenate([[0], np.flatnonzero(change)])
-        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            yield table.slice(a, b - a)
-        held = table.slice(int(begin[-1])).to_batches()
+        begin = _begins(table, keys)
+        last = int(begin[-1])
+        if last:
+            yield table.slice(0, last), begin[:-1], np.diff(begin)
+        held = table.slice(last).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.zeros(1, np.int64), np.array([table.num_rows])
+
+
+def _begins(table: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.zeros(table.num_rows, bool)
+    for k in keys:
+        values = table.column(k).to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    change[0] = True
+    return np.flatnonzero(change)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 2) -> Iterator[pa.Table]:
+    """The groups of `least` rows or more, of a partition sorted by keys."""
+    for table, begin, size in whole_groups(batches, keys):
+        for k in np.flatnonzero(size >= least).tolist():
+            yield table.slice(int(begin[k]), int(size[k]))
 
 
 class Local:
