@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,29 +37,38 @@ class ModelSize:
     """Bounds of a model: kept words and n-grams of each length for each language, n-gram lengths, and languages."""
 
     words: int = 30_000
-    grams: int = 20_000
+    grams: int = 10_000
     longest: int = 4
     languages: int = 400
 
 
 @dataclass
 class LanguageModel:
-    """Log posteriors over `languages` of known words, and of n-grams by length."""
+    """Log posteriors over `languages` of known words, and of n-grams, whose rows are known by length."""
 
     languages: list[str]
     words: dict[str, int]
     word_scores: np.ndarray
-    grams: list[tuple[dict[str, int], np.ndarray]]
-
-    def unseen(self, word: str) -> np.ndarray:
-        """The mean over the word's longest n-grams that are known."""
-        marked = f" {word} "
-        for n in range(len(self.grams), 0, -1):
-            known, scores = self.grams[n - 1]
-            found = [known[g] for g in (marked[k : k + n] for k in range(len(marked) - n + 1)) if g in known]
-            if found:
-                return scores[found].mean(axis=0)
-        return np.full(len(self.languages), -math.log(len(self.languages)))
+    grams: list[dict[str, int]]
+    gram_scores: np.ndarray
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean over its longest n-grams that are known; even odds if none is."""
+        even = len(self.gram_scores)
+        rows, sizes = [], []
+        for word in words:
+            marked = f" {word} "
+            found: list[int] = []
+            for n in range(len(self.grams), 0, -1):
+                known = self.grams[n - 1]
+                found = [known[g] for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) in known]
+                if found:
+                    break
+            rows += found or [even]
+            sizes.append(len(found) or 1)
+        scores = np.vstack([self.gram_scores, np.full((1, len(self.languages)), -math.log(len(self.languages)))])[rows]
+        count = np.array(sizes)
+        return np.add.reduceat(scores, np.cumsum(count) - count, axis=0) / count[:, None]
 
 
 def held_out() -> Column:
@@ -132,27 +142,28 @@ def train(docs: DataFrame, size: ModelSize | None = None) -> LanguageModel:
     if len(languages) > size.languages:
         raise ValueError(f"more than {size.languages} languages")
     if not languages:
-        return LanguageModel([], {}, np.zeros((0, 0)), [])
+        return LanguageModel([], {}, np.zeros((0, 0)), [], np.zeros((0, 0)))
     columns = [f"n_{k}" for k in range(len(languages))]
     counts = written(_word_counts(labelled, languages), "word-counts")
     kept, totals = _most_frequent(counts, "word", len(languages), size.words, [])
-    rows = kept.select("word", *columns).collect()
-    words = {r[0]: k for k, r in enumerate(rows)}
+    table = kept.select("word", *columns).toArrow()
+    words = {w: k for k, w in enumerate(table["word"].to_pylist())}
     of = lambda totals, *by: [totals.get((*by, k), (0, 0)) for k in range(len(languages))]
-    word_scores = _posteriors(np.array([r[1:] for r in rows], float).reshape(-1, len(languages)), of(totals))
+    matrix = lambda table: np.stack([table[c].to_numpy() for c in columns], axis=1).astype(float)
+    word_scores = _posteriors(matrix(table), of(totals))
     marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     cut = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda k, n=n: F.struct(F.lit(n).alias("size"), F.substring(marked, k, F.lit(n)).alias("gram"))) for n in range(1, size.longest + 1)]))
     grams = counts.select(F.explode(cut).alias("g"), *columns).groupBy("g.size", "g.gram").agg(*[F.sum(c).alias(c) for c in columns])
     kept, totals = _most_frequent(written(grams, "gram-counts"), "gram", len(languages), size.grams, ["size"])
-    by_size: dict[int, list] = {}
-    for r in kept.select("size", "gram", *columns).collect():
-        by_size.setdefault(r[0], []).append(r[1:])
-    levels = []
+    table = kept.select("size", "gram", *columns).toArrow()
+    levels, scores = [], []
+    begin = 0
     for n in range(1, size.longest + 1):
-        found = by_size.get(n, [])
-        scores = _posteriors(np.array([r[1:] for r in found], float).reshape(-1, len(languages)), of(totals, n))
-        levels.append(({r[0]: k for k, r in enumerate(found)}, scores))
-    return LanguageModel(languages, words, word_scores, levels)
+        found = table.filter(pc.equal(table["size"], n))
+        levels.append({g: k for k, g in enumerate(found["gram"].to_pylist(), begin)})
+        scores.append(_posteriors(matrix(found), of(totals, n)))
+        begin += found.num_rows
+    return LanguageModel(languages, words, word_scores, levels, np.concatenate(scores))
 
 
 class _Scorer:
@@ -166,12 +177,13 @@ class _Scorer:
     def _rows(self, words: list[str]) -> list[int]:
         rows = list(map(self._row.get, words))
         if None in rows:
-            new = {w for w, r in zip(words, rows, strict=True) if r is None}
+            new = list({w for w, r in zip(words, rows, strict=True) if r is None})
             if len(self._row) + len(new) > len(self._scores):
                 self._row = dict(self._model.words)
-            for w in new:
-                at = self._row[w] = len(self._row)
-                self._scores[at] = self._model.unseen(w)
+                new = list({w for w in words if w not in self._row})
+            at = len(self._row)
+            self._row.update(zip(new, range(at, at + len(new)), strict=True))
+            self._scores[at : at + len(new)] = self._model.unseen(new)
             rows = list(map(self._row.__getitem__, words))
         return rows
 
