@@ -25,6 +25,7 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 LEAST_RATIO = 12.0
 _MARK, _OTHER = "\ue000", "\ufffd"
 _CELLS = 96
+PRIOR = 5.0
 _STEP = 64
 
 
@@ -89,13 +90,20 @@ def _labelled(values: Column, secret: bool) -> Column:
 def log_ratios(counts: dict[tuple[bool, int], int]) -> list[float]:
     """For each cell, how much likelier the second character is after the first in a random string than in an identifier.
 
-    Both chains are smoothed by one occurrence of each of 66 characters, so a corpus without samples gives ratios of 0.
+    A pair's probability is smoothed by `PRIOR` occurrences dealt as the second characters of all pairs are, and those by
+    half an occurrence of each of 66 characters. A corpus without samples gives ratios of 0.
     """
-    sums: dict[tuple[bool, int], int] = {}
-    for (secret, cell), n in counts.items():
-        sums[secret, cell // _CELLS] = sums.get((secret, cell // _CELLS), 0) + n
-    share = lambda secret, cell: math.log((counts.get((secret, cell), 0) + 1) / (sums.get((secret, cell // _CELLS), 0) + 66))
-    return [share(True, k) - share(False, k) for k in range(_CELLS * _CELLS)]
+    chains = []
+    for label in (True, False):
+        after, before = [0.0] * _CELLS, [0.0] * _CELLS
+        for (secret, cell), n in counts.items():
+            if secret == label:
+                before[cell // _CELLS] += n
+                after[cell % _CELLS] += n
+        total = sum(after)
+        share = [(n + 0.5) / (total + 33) for n in after]
+        chains.append([(counts.get((label, k), 0) + PRIOR * share[k % _CELLS]) / (before[k // _CELLS] + PRIOR) for k in range(_CELLS * _CELLS)])
+    return [math.log(a / b) for a, b in zip(*chains, strict=True)]
 
 
 def train(docs: DataFrame) -> list[float]:
