@@ -16,7 +16,9 @@ from pagemill.plans import views as V
 from pagemill.sources import ocr as S
 from pagemill.streaming import runs as streams
 
-NOW = F.lit("2024-02-15 00:00:00").cast("timestamp")
+def _now():
+    """A fixed time, so that the queries give the same rows on any day."""
+    return F.unix_timestamp(F.lit("2024-02-15 00:00:00").cast("timestamp"))
 
 
 def _text(f):
@@ -206,7 +208,7 @@ def _registry(spark, d):
 
 def registry_status(spark, d):
     """AGG10: the registry by file type."""
-    found = N.registry_status(_registry(spark, d), F.unix_timestamp(NOW))
+    found = N.registry_status(_registry(spark, d), _now())
     return found.select("file_type", "n_files", "n_ready")
 
 
@@ -214,7 +216,7 @@ def temp_files(spark, d):
     """JN7, JN8: files of some originals past their time, and files by pattern."""
     r = _registry(spark, d)
     wanted = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("original")).where("original < 5")
-    a = N.temp_files_for(r, wanted, F.unix_timestamp(NOW)).select(F.lit("for").alias("how"), "file_type")
+    a = N.temp_files_for(r, wanted, _now()).select(F.lit("for").alias("how"), "file_type")
     b = N.temp_files_matching(r, "*_1?.pdf").select(F.lit("matching").alias("how"), "file_type")
     return a.unionByName(b).groupBy("how", "file_type").agg(F.count("*").alias("n"))
 
