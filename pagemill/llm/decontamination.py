@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.fm_index import FMIndex
+from pagemill.llm.shared import small
 from pagemill.llm.words import words_of
 
 PHRASE = 13
@@ -130,7 +131,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _pass(shared, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2000):
             counts, spans, items = zip(*_search(batch.column("text").to_pylist(), shared.value), strict=True) if batch.num_rows else ((), (), ())
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in {f.name for f in ADDED}]
             if not first:

@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import written
+from pagemill.llm.shared import small, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-COUNTED = 300_000  # entries that a counting task holds before it hands them on
-CACHED = 300_000  # unseen words that a scoring worker remembers
+COUNTED = 150_000  # entries that a counting task holds before it hands them on
+CACHED = 150_000  # unseen words that a scoring worker remembers
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def _word_counts(labelled: DataFrame, languages: list[str]) -> DataFrame:
             lang, word, n = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
-        for batch in batches:
+        for batch in small(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
                 if sum(map(len, held.values())) > COUNTED:
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             _SCORERS.clear()
             _SCORERS[number] = _Scorer(shared.value)
         scorer = _SCORERS[number]
-        for batch in batches:
+        for batch in small(batches):
             found = [scorer.predict(x) for x in batch.column("text").to_pylist()]
             arrays = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "lang_pred", "score"])

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 END_ID = 2
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Words that a worker remembers; past it, it forgets the later half. Memory only: the ids don't depend on it.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
 #: Texts that can't be taken word by word: other white space, runs of white space, text of a special token.
 _ODD = (
     r"^[ \n]|[ \n]$|[ \n][ \n]|<\||[\t\x{b}\x{c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}"
@@ -123,7 +123,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: pa.Array, most: int = 1 << 23):
+def slices(texts: pa.Array, most: int = 1 << 22):
     """(begin, end) of runs of texts with about `most` bytes together, so that a long batch isn't held as ids at once."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
