@@ -129,7 +129,7 @@ def _wanted(table: pa.Table) -> np.ndarray:
     return found
 
 
-_UNIT = ["band", "value", "i", "j"]
+_UNIT = ["value", "i", "j"]  # the value is hashed with the band, and makes a good sort prefix
 _UNIT_ROW = "band int, value long, i int, j int, chunk int, key binary, id long, bands array<long>"
 
 
