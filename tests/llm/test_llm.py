@@ -204,6 +204,23 @@ def test_line_dedup(spark):
     assert [found[k]["n_removed"] for k in (1, 2, 3, 4, 5)] == [0, 1, 0, 0, 1]
 
 
+def test_line_dedup_finds_near_lines(spark):
+    """Two letters changed in lines of 5 to 50 words, or one under 20 bytes; each copy is in another document, and brute force says which are near."""
+    rng = random.Random(3)
+    lines, copies = [], []
+    for n in range(5, 51):
+        for _ in range(4):
+            line = " ".join(rng.choices(VOCABULARY, k=n))
+            copy = list(line)
+            for k in rng.sample([k for k, c in enumerate(line) if c != " "], 1 + (len(line) >= 20)):
+                copy[k] = "z"
+            lines.append(line)
+            copies.append("".join(copy))
+    assert all(line_dedup.similar(a.encode(), b.encode()) for a, b in zip(lines, copies, strict=True))
+    found = line_dedup.dedup_lines(frame(spark, [(1, "\n".join(lines)), (2, "\n".join(copies))])).where("doc_id = 2").first()
+    assert found["n_lines"] == len(lines) and found["n_removed"] >= 0.98 * len(lines)
+
+
 def test_edit_similarity():
     def slow(a, b):
         row = list(range(len(b) + 1))
