@@ -1,74 +1,54 @@
 """Language identification by word frequencies, with back-off to character n-grams.
 
-A known word gives each language the logarithm of its relative frequency there. An unseen word falls back to its longest
-character n-grams that the model has: n-grams of 4 characters, else of 3, 2 and 1. Both are turned into a log posterior
+A learned word gives each language the logarithm of its relative frequency there. A word that wasn't learned falls back to
+its longest character n-grams that were: n-grams of 4 characters, else of 3, 2 and 1. Both are turned into a log posterior
 over the learned languages, and a text's score adds those of its words.
 
-Counts are taken over all labelled texts. What a model keeps of them, and a task holds, is bounded: for each language its
-`words` most frequent words and its `grams` most frequent n-grams of each length.
+Counts are taken over all labelled texts, and all are kept: a model is two written tables. Scoring looks each distinct
+word up once by joins. The most frequent words are also held by the tasks, up to `frequent` of a language, so that only
+the other words of a text need a row; that bounds what a task holds and changes no score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagemill.llm.shared import small, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 COUNTED = 150_000  # entries that a counting task holds before it hands them on
-CACHED = 150_000  # unseen words that a scoring worker remembers
 
 
 @dataclass(frozen=True)
 class ModelSize:
-    """Bounds of a model: kept words and n-grams of each length for each language, n-gram lengths, and languages."""
+    """The longest n-grams and most languages of a model, and how many words of each language tasks hold."""
 
-    words: int = 30_000
-    grams: int = 10_000
+    frequent: int = 10_000
     longest: int = 4
     languages: int = 400
 
 
 @dataclass
 class LanguageModel:
-    """Log posteriors over `languages` of known words, and of n-grams, whose rows are known by length."""
+    """Log posteriors `s_0, s_1, ...` over `languages`, of all learned words (`word`) and n-grams (`size, gram`)."""
 
     languages: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: list[dict[str, int]]
-    gram_scores: np.ndarray
-
-    def unseen(self, words: list[str]) -> np.ndarray:
-        """For each word the mean over its longest n-grams that are known; even odds if none is."""
-        even = len(self.gram_scores)
-        rows, sizes = [], []
-        for word in words:
-            marked = f" {word} "
-            found: list[int] = []
-            for n in range(len(self.grams), 0, -1):
-                known = self.grams[n - 1]
-                found = [known[g] for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) in known]
-                if found:
-                    break
-            rows += found or [even]
-            sizes.append(len(found) or 1)
-        scores = np.vstack([self.gram_scores, np.full((1, len(self.languages)), -math.log(len(self.languages)))])[rows]
-        count = np.array(sizes)
-        return np.add.reduceat(scores, np.cumsum(count) - count, axis=0) / count[:, None]
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    longest: int = 4
+    frequent: dict[str, int] = field(default_factory=dict)
+    frequent_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
 
 def held_out() -> Column:
@@ -128,10 +108,28 @@ def _most_frequent(counts: DataFrame, key: str, n_languages: int, most: int, by:
     return counts.where(kept), {k: (v[0], v[1]) for k, v in totals.items()}
 
 
-def _posteriors(counts: np.ndarray, totals: list[tuple[int, int]]) -> np.ndarray:
-    """Log posteriors under equal priors, from counts smoothed by half an occurrence."""
-    logs = np.log(counts + 0.5) - np.log(np.array([t + 0.5 * (k + 1) for t, k in totals]))
-    return logs - np.logaddexp.reduce(logs, axis=1, keepdims=True)
+def _with_posteriors(counts: DataFrame, totals: dict, n_languages: int, by: list[str]) -> DataFrame:
+    """Counts with log posteriors under equal priors, from counts smoothed by half an occurrence. `by` are as for totals."""
+    bases = {}
+    for (*values, lang), (total, keys) in totals.items():
+        bases.setdefault(tuple(values), {})[lang] = math.log(total + 0.5 * (keys + 1))
+    empty = math.log(0.5)
+
+    def base(k: int) -> Column:
+        value = F.lit(empty)
+        for values, of in bases.items():
+            here = F.lit(True)
+            for c, v in zip(by, values, strict=True):
+                here = here & (F.col(c) == v)
+            value = F.when(here, F.lit(of.get(k, empty))).otherwise(value)
+        return value
+
+    logs = counts.withColumns({f"s_{k}": F.log(F.col(f"n_{k}") + 0.5) - base(k) for k in range(n_languages)})
+    scores = [F.col(f"s_{k}") for k in range(n_languages)]
+    most = F.array_max(F.array(*scores))
+    summed = most + F.log(F.aggregate(F.array(*scores), F.lit(0.0), lambda a, x: a + F.exp(x - most)))
+    logs = logs.withColumn("summed", summed)
+    return logs.withColumns({f"s_{k}": F.col(f"s_{k}") - F.col("summed") for k in range(n_languages)}).drop("summed")
 
 
 def train(docs: DataFrame, size: ModelSize | None = None) -> LanguageModel:
@@ -142,65 +140,73 @@ def train(docs: DataFrame, size: ModelSize | None = None) -> LanguageModel:
     if len(languages) > size.languages:
         raise ValueError(f"more than {size.languages} languages")
     if not languages:
-        return LanguageModel([], {}, np.zeros((0, 0)), [], np.zeros((0, 0)))
+        return LanguageModel([])
     columns = [f"n_{k}" for k in range(len(languages))]
     counts = written(_word_counts(labelled, languages), "word-counts")
-    kept, totals = _most_frequent(counts, "word", len(languages), size.words, [])
-    table = kept.select("word", *columns).toArrow()
-    words = {w: k for k, w in enumerate(table["word"].to_pylist())}
-    of = lambda totals, *by: [totals.get((*by, k), (0, 0)) for k in range(len(languages))]
-    matrix = lambda table: np.stack([table[c].to_numpy() for c in columns], axis=1).astype(float)
-    word_scores = _posteriors(matrix(table), of(totals))
-    marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    cut = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda k, n=n: F.struct(F.lit(n).alias("size"), F.substring(marked, k, F.lit(n)).alias("gram"))) for n in range(1, size.longest + 1)]))
-    grams = counts.select(F.explode(cut).alias("g"), *columns).groupBy("g.size", "g.gram").agg(*[F.sum(c).alias(c) for c in columns])
-    kept, totals = _most_frequent(written(grams, "gram-counts"), "gram", len(languages), size.grams, ["size"])
-    table = kept.select("size", "gram", *columns).toArrow()
-    levels, scores = [], []
-    begin = 0
-    for n in range(1, size.longest + 1):
-        found = table.filter(pc.equal(table["size"], n))
-        levels.append({g: k for k, g in enumerate(found["gram"].to_pylist(), begin)})
-        scores.append(_posteriors(matrix(found), of(totals, n)))
-        begin += found.num_rows
-    return LanguageModel(languages, words, word_scores, levels, np.concatenate(scores))
-
-
-class _Scorer:
-    """Scores texts; remembers the unseen words that it has met."""
-
-    def __init__(self, model: LanguageModel):
-        self._model, self._known = model, len(model.words)
-        self._row = dict(model.words)
-        self._scores = np.vstack([model.word_scores, np.zeros((CACHED, len(model.languages)))])
-
-    def _rows(self, words: list[str]) -> list[int]:
-        rows = list(map(self._row.get, words))
-        if None in rows:
-            new = list({w for w, r in zip(words, rows, strict=True) if r is None})
-            if len(self._row) + len(new) > len(self._scores):
-                self._row = dict(self._model.words)
-                new = list({w for w in words if w not in self._row})
-            at = len(self._row)
-            self._row.update(zip(new, range(at, at + len(new)), strict=True))
-            self._scores[at : at + len(new)] = self._model.unseen(new)
-            rows = list(map(self._row.__getitem__, words))
-        return rows
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text and self._model.languages else []
-        if not words:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self._model.languages))
-        for at in range(0, len(words), 100_000):
-            total += self._scores[self._rows(words[at : at + 100_000])].sum(axis=0)
-        total = total / math.sqrt(len(words))  # neighbouring words aren't independent
-        odds = np.exp(total - total.max())
-        best = int(odds.argmax())
-        return self._model.languages[best], float(odds[best] / odds.sum())
-
-
-_SCORERS: dict[str, _Scorer] = {}
+    own = [f"s_{k}" for k in range(len(languages))]
+    frequent, totals = _most_frequent(counts, "word", len(languages), size.frequent, [])
+    words = _with_posteriors(counts, totals, len(languages), []).select("word", *own)
+    table = _with_posteriors(frequent, totals, len(languages), []).select("word", *own).toArrow()
+    held = {w: k for k, w in enumerate(table["word"].to_pylist())}
+    scores = np.stack([table[c].to_numpy() for c in own], axis=1)
+    words = written(words, "word-scores")
+    grams = counts.select(F.explode(_cut(F.col("word"), range(1, size.longest + 1))).alias("g"), *columns).groupBy("g.size", "g.gram").agg(*[F.sum(c).alias(c) for c in columns])
+    grams = written(grams, "gram-counts")
+    totals = _most_frequent(grams, "gram", len(languages), 0, ["size"])[1]
+    return LanguageModel(languages, words, _with_posteriors(grams, totals, len(languages), ["size"]).select("size", "gram", *own), size.longest, held, scores)
+
+
+def _cut(word: Column, sizes: Iterable[int]) -> Column:
+    """The n-grams of a word between spaces, as structs of size and gram; none where the word is shorter."""
+    marked = F.concat(F.lit(" "), word, F.lit(" "))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda k: F.struct(F.lit(n).alias("size"), F.substring(marked, k, F.lit(n)).alias("gram")))
+    none = F.array().cast("array<struct<size:int,gram:string>>")
+    return F.flatten(F.array(*[F.when(F.length(marked) >= n, of(n)).otherwise(none) for n in sizes]))
+
+
+def _unlearned_scores(words: DataFrame, model: LanguageModel, longest: int) -> DataFrame:
+    """`word, s_0, ...` of distinct words that weren't learned: the mean over their longest n-grams that were, or even odds."""
+    own = [f"s_{k}" for k in range(len(model.languages))]
+    done, left = [], words
+    for n in range(longest, 0, -1):
+        grams = left.select("word", F.explode(_cut(F.col("word"), [n])).alias("g")).select("word", "g.gram")
+        found = grams.hint("merge").join(model.grams.where(F.col("size") == n).drop("size"), "gram").groupBy("word").agg(*[F.avg(c).alias(c) for c in own])
+        found = written(found, "unlearned-words")
+        done.append(found)
+        left = written(left.hint("merge").join(found.select("word"), "word", "left_anti"), "words-left")
+    even = -math.log(len(model.languages))
+    return reduce(DataFrame.unionByName, [*done, left.select("word", *[F.lit(even).alias(c) for c in own])])
+
+
+def _text_id(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _facts(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Of each distinct text the number of its words, the sums of the held words' scores, and its other words with counts."""
+    held = docs.sparkSession.sparkContext.broadcast((model.frequent, model.frequent_scores))
+    own = [f"s_{k}" for k in range(len(model.languages))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, scores = held.value
+        for batch in small(batches):
+            sizes, sums, others, times = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                words = Counter(WORD.findall(text.lower())) if text else Counter()
+                known = [(rows[w], n) for w, n in words.items() if w in rows]
+                rest = [(w, n) for w, n in words.items() if w not in rows]
+                at, n = np.array(known, np.int64).reshape(-1, 2).T
+                sums.append(n @ scores[at])
+                sizes.append(sum(words.values()))
+                others.append([w for w, _ in rest])
+                times.append([n for _, n in rest])
+            columns = list(np.array(sums).reshape(-1, len(own)).T)
+            arrays = [batch.column("text_id"), pa.array(sizes, pa.int64()), *[pa.array(c) for c in columns], pa.array(others, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["text_id", "size", *own, "others", "times"])
+
+    schema = f"text_id long, size long, {', '.join(f'{c} double' for c in own)}, others array<string>, times array<long>"
+    found = docs.select(_text_id(F.col("text")).alias("text_id"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(count, schema)
+    return written(found.dropDuplicates(["text_id"]), "texts")
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -209,23 +215,28 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     A text that is null or has no letter gets `und` and 0, and so does every text if no language was learned. Columns of
     these two names are replaced; all others stay, and only `text` is read.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    number = uuid.uuid4().hex
     docs = docs.drop("lang_pred", "score")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[number] = _Scorer(shared.value)
-        scorer = _SCORERS[number]
-        for batch in small(batches):
-            found = [scorer.predict(x) for x in batch.column("text").to_pylist()]
-            arrays = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "lang_pred", "score"])
-
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added]))
+    if not model.languages:
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    own = [f"s_{k}" for k in range(len(model.languages))]
+    facts = _facts(docs, model)
+    rows = facts.select("text_id", F.explode(F.arrays_zip("others", "times")).alias("x")).select("text_id", F.col("x.others").alias("word"), F.col("x.times").alias("n"))
+    words = written(rows.select("word").distinct(), "words")
+    learned = written(words.hint("merge").join(model.words, "word"), "learned-words")
+    unlearned = words.hint("merge").join(learned.select("word"), "word", "left_anti")
+    scores = learned.unionByName(_unlearned_scores(written(unlearned, "other-words"), model, model.longest))
+    sums = rows.hint("merge").join(scores, "word").groupBy("text_id").agg(*[F.sum(F.col(c) * F.col("n")).alias(f"o{c}") for c in own])
+    total = facts.drop("others", "times").hint("merge").join(sums, "text_id", "left")
+    # neighbouring words aren't independent
+    total = total.where("size > 0").select("text_id", F.array(*[(F.col(c) + F.coalesce(f"o{c}", F.lit(0.0))) / F.sqrt("size") for c in own]).alias("total"))
+    most = F.array_max("total")
+    best = F.array_position("total", most).cast("int")
+    odds = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - most))
+    names = F.array(*[F.lit(x) for x in model.languages])
+    told = written(total.select(F.col("text_id").alias("\nid"), F.element_at(names, best).alias("lang_pred"), (1 / odds).alias("score")), "languages")
+    joined = docs.withColumn("\ntext id", F.when(F.col("text").isNotNull(), _text_id(F.col("text"))))
+    joined = joined.hint("merge").join(told, F.col("\ntext id") == F.col("\nid"), "left")
+    return joined.select(*docs.columns, F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,45 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in identify(tests, nothing).collect()} == {"und"}
 
 
+def test_language_id_keeps_all_counts(spark):
+    """Over 30,000 words, and over 10,000 n-grams, of a language: scores are those of brute force over all counts."""
+    rng = random.Random(5)
+    letters = {"aa": "abcdefghijklmn", "bb": "ghijklmnopqrst"}
+    texts = {lang: ["".join(rng.choices(c, k=rng.randint(4, 7))) for _ in range(36_000)] for lang, c in letters.items()}
+    learned = {lang: Counter(ws) for lang, ws in texts.items()}
+    assert all(len(c) > 30_000 for c in learned.values())
+    docs = [(" ".join(ws[k : k + 100]), lang) for lang, ws in texts.items() for k in range(0, len(ws), 100)]
+    tests = [" ".join(rng.choices(texts["aa"], k=1) + rng.choices(texts["bb"], k=1) + ["".join(rng.choices("ghijklmn", k=6))]) for _ in range(30)] + ["éé", "rrrr gggg x"]
+
+    def cuts(word, n):
+        return [f" {word} "[k : k + n] for k in range(len(word) + 3 - n)]
+
+    grams = {n: {lang: Counter() for lang in letters} for n in range(1, 5)}
+    for n, of in grams.items():
+        for lang, c in learned.items():
+            for w, times in c.items():
+                for g in cuts(w, n):
+                    of[lang][g] += times
+
+    def posterior(of, key):
+        logs = np.array([np.log(of[x][key] + 0.5) - np.log(sum(of[x].values()) + 0.5 * (len(of[x]) + 1)) for x in sorted(of)])
+        return logs - np.logaddexp.reduce(logs)
+
+    def of_word(word):
+        if any(word in c for c in learned.values()):
+            return posterior(learned, word)
+        for n in range(4, 0, -1):
+            if known := [g for g in cuts(word, n) if any(g in c for c in grams[n].values())]:
+                return np.mean([posterior(grams[n], g) for g in known], axis=0)
+        return np.full(2, -np.log(2))
+
+    found = {r["doc_id"]: r for r in identify(frame(spark, [*enumerate(tests), (99, tests[0])]), train(spark.createDataFrame(docs, "text string, lang string"))).collect()}
+    for k, text in [*enumerate(tests), (99, tests[0])]:
+        total = sum(of_word(w) for w in text.split()) / len(text.split()) ** 0.5
+        share = np.exp(total - np.logaddexp.reduce(total))
+        assert found[k]["score"] == pytest.approx(share.max()) and found[k]["lang_pred"] == sorted(letters)[int(share.argmax())]
+
+
 def test_connected_groups(spark):
     links = [(random.randrange(60), random.randrange(60)) for _ in range(40)]
     up = list(range(60))
