@@ -11,3 +11,11 @@ _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c > 0x7F or 0x30 <= c <= 0x
 def words_of(text: str | None) -> list[bytes]:
     """A text's words in order, as UTF-8; null has none."""
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+
+
+_LINE_TABLE = bytes(0x0A if c == 0x0A else x for c, x in enumerate(_TABLE))
+
+
+def lines_of(text: str | None) -> list[bytes]:
+    """The words of each of a text's lines, joined by single spaces, as UTF-8; null has no lines."""
+    return [b" ".join(x.split()) for x in text.encode("utf-8", "surrogatepass").translate(_LINE_TABLE).split(b"\n")] if text else []

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import string
@@ -18,6 +19,7 @@ from pagemill.llm.fm_index import FMIndex
 from pagemill.llm.language_id import identify, train
 from pagemill.llm.shared import shared_folder
 from pagemill.llm.tokens import encoder, tokenizer_path
+from pagemill.llm.words import lines_of
 
 random.seed(7)
 VOCABULARY = ["".join(random.choices("abcdefghijklmnop", k=random.randint(2, 9))) for _ in range(400)]
@@ -352,3 +354,32 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert len(corpus_pipeline.STAGES) == 5 and re.match("language", corpus_pipeline.STAGES[0][0])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 5}
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Of all pairs of lines of a given table that brute force finds similar, nine in ten or more lose one of the two."""
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(folder).select("doc_id", "text")
+    words = lambda text: {x for x in lines_of(text) if x}
+    lines = sorted(set().union(*(words(r["text"]) for r in docs.collect())), key=len)
+    letters = [x.decode() for x in lines]
+    lines = [a for _, a in sorted(zip(map(len, letters), letters, strict=True))]
+    sizes = np.array([len(x) for x in lines])
+    counts, pairs_of = np.zeros((len(lines), 64), np.int16), np.zeros((len(lines), 1024), np.int8)
+    for k, x in enumerate(lines):
+        codes = np.array([ord(c) for c in x])
+        counts[k] = np.bincount(codes % 64, minlength=64)
+        pairs_of[k] = np.minimum(np.bincount((codes[:-1] * 37 + codes[1:]) % 1024, minlength=1024), 60)
+    near = []
+    for k, n in enumerate(sizes):
+        end = np.searchsorted(sizes, n / 0.9 + 1, "right")
+        most = (0.1 * sizes[k + 1 : end] + 1e-9).astype(int)
+        at = np.flatnonzero((sizes[k + 1 : end] - n <= most) & (np.abs(counts[k + 1 : end] - counts[k]).sum(axis=1) <= 2 * most))
+        # an edit changes two neighbouring pairs of characters, so four counts, at most
+        at = at[np.abs(pairs_of[at + k + 1].astype(np.int16) - pairs_of[k]).sum(axis=1) <= 4 * most[at]] + k + 1
+        near += [(lines[k], lines[j]) for j in at if line_dedup.similar(lines[k], lines[j])]
+    left = {x.decode() for r in line_dedup.dedup_lines(docs).collect() for x in words(r["text"])}
+    assert len(near) > 200 and sum(not (a in left and b in left) for a, b in near) >= 0.9 * len(near)
+    assert left <= set(lines)
