@@ -1,12 +1,14 @@
 """Language identification by word frequencies, with back-off to character n-grams.
 
 A learned word gives each language the logarithm of its relative frequency there. A word that wasn't learned falls back to
-its longest character n-grams that were: n-grams of 4 characters, else of 3, 2 and 1. Both are turned into a log posterior
-over the learned languages, and a text's score adds those of its words.
-
-Counts are taken over all labelled texts, and all are kept: a model is two written tables. Scoring looks each distinct
-word up once by joins. The most frequent words are also held by the tasks, up to `frequent` of a language, so that only
-the other words of a text need a row; that bounds what a task holds and changes no score.
+its longest character n-grams that were: n-grams of 4 characters, else of 3, 2 and 1, of which it takes the mean. A text's
+score adds those of its words, and is made a share of the evidence over all learned languages.
+
+Counts are taken over all labelled texts, and all are kept, smoothed by half an occurrence. What a word or n-gram adds to
+the languages that have it is a list as long as those; what it adds to the others depends on the language only and is
+added once a text. So a model is two written tables, whose size goes with the counts and not with words times languages.
+Scoring looks up the words of texts by joins. The most frequent words are also held by the tasks, `HELD` entries of a word
+and a language in all, so that only the other words need a row; that bounds what a task holds and changes no score.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -25,30 +27,33 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.shared import small, written
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: what `\w` has besides digits and `_` are letters and other numbers, and the latter are left out.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 UNKNOWN = "und"
 COUNTED = 150_000  # entries that a counting task holds before it hands them on
-
-
-@dataclass(frozen=True)
-class ModelSize:
-    """The longest n-grams and most languages of a model, and how many words of each language tasks hold."""
-
-    frequent: int = 10_000
-    longest: int = 4
-    languages: int = 400
+HELD = 400_000
+LONGEST = 4  # characters of an n-gram
+_PAD = "\0"  # no letter
+_SCORES = "array<struct<key:int,w:double>>"
 
 
 @dataclass
 class LanguageModel:
-    """Log posteriors `s_0, s_1, ...` over `languages`, of all learned words (`word`) and n-grams (`size, gram`)."""
+    """What learned words (`word, scores`) and n-grams (`size, gram, scores`) add to languages, by number.
+
+    `base[n]` is what any n-gram adds to each language, and `base[0]` any word. `held` numbers the words that tasks hold;
+    the entries of number k are `entries[starts[k]:starts[k + 1]]`, and `weights` there.
+    """
 
     languages: list[str]
     words: DataFrame | None = None
     grams: DataFrame | None = None
-    longest: int = 4
-    frequent: dict[str, int] = field(default_factory=dict)
-    frequent_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    base: list[list[float]] = field(default_factory=list)
+    held: dict[str, int] = field(default_factory=dict)
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def held_out() -> Column:
@@ -57,16 +62,17 @@ def held_out() -> Column:
 
 
 def _word_counts(labelled: DataFrame, languages: list[str]) -> DataFrame:
-    """`word, n_0, n_1, ...`: how often each language's texts have the word."""
+    """`word, lang, n`: how often each language's texts have the word."""
+    numbers = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
+            rows = [(numbers[lang], w, n) for lang, c in held.items() for w, n in c.items()]
             held.clear()
             lang, word, n = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
         for batch in small(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -76,106 +82,84 @@ def _word_counts(labelled: DataFrame, languages: list[str]) -> DataFrame:
         if any(held.values()):
             yield out()
 
-    counts = labelled.mapInArrow(count, "lang string, word string, n long")
-    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n_{k}") for k, x in enumerate(languages)]
-    return counts.groupBy("word").agg(*by_lang)
+    return labelled.mapInArrow(count, "lang int, word string, n long").repartition("word").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
-def _most_frequent(counts: DataFrame, key: str, n_languages: int, most: int, by: list[str]) -> tuple[DataFrame, dict]:
-    """The rows that are among `most` of a language, and each language's total and number of keys.
+def _scored(counts: DataFrame, *keys: str) -> DataFrame:
+    """`scores`: how much more each language that has the key gets than one that doesn't; and `n`, how often all have it."""
+    entry = F.struct(F.col("lang").alias("key"), F.log(2 * F.col("n") + 1).alias("w"))  # log(n + 1/2) - log(1/2)
+    return counts.groupBy(*keys).agg(F.collect_list(entry).alias("scores"), F.sum("n").alias("n"))
 
-    A histogram over the logarithm of the count says from which class on a language's keys fit; no ranking is needed.
-    `by` are further columns that have totals of their own.
-    """
-    classes = F.floor(F.log2(F.col("n")) * 8).cast("int")
-    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("lang"), F.col(f"n_{k}").alias("n")) for k in range(n_languages)]))
-    histogram = counts.select(*by, entries.alias("e")).select(*by, "e.*").where("n > 0").groupBy(*by, "lang", classes.alias("class")).agg(F.count("*").alias("keys"), F.sum("n").alias("total"))
-    totals: dict[tuple, list[int]] = {}
-    least: dict[tuple, int] = {}
-    for row in sorted(histogram.collect(), key=lambda r: -r["class"]):  # a language has a few hundred classes at most
-        at = (*(row[c] for c in by), row["lang"])
-        total = totals.setdefault(at, [0, 0, 0])
-        total[0] += row["total"]
-        total[1] += row["keys"]
-        if total[1] <= most:
-            least[at] = row["class"]
-    kept = F.lit(False)
-    for (*values, lang), bound in least.items():
-        here = F.floor(F.log2(F.col(f"n_{lang}")) * 8) >= bound
-        for c, v in zip(by, values, strict=True):
-            here = (F.col(c) == v) & here
-        kept = kept | ((F.col(f"n_{lang}") > 0) & here)
-    return counts.where(kept), {k: (v[0], v[1]) for k, v in totals.items()}
-
-
-def _with_posteriors(counts: DataFrame, totals: dict, n_languages: int, by: list[str]) -> DataFrame:
-    """Counts with log posteriors under equal priors, from counts smoothed by half an occurrence. `by` are as for totals."""
-    bases = {}
-    for (*values, lang), (total, keys) in totals.items():
-        bases.setdefault(tuple(values), {})[lang] = math.log(total + 0.5 * (keys + 1))
-    empty = math.log(0.5)
-
-    def base(k: int) -> Column:
-        value = F.lit(empty)
-        for values, of in bases.items():
-            here = F.lit(True)
-            for c, v in zip(by, values, strict=True):
-                here = here & (F.col(c) == v)
-            value = F.when(here, F.lit(of.get(k, empty))).otherwise(value)
-        return value
-
-    logs = counts.withColumns({f"s_{k}": F.log(F.col(f"n_{k}") + 0.5) - base(k) for k in range(n_languages)})
-    scores = [F.col(f"s_{k}") for k in range(n_languages)]
-    most = F.array_max(F.array(*scores))
-    summed = most + F.log(F.aggregate(F.array(*scores), F.lit(0.0), lambda a, x: a + F.exp(x - most)))
-    logs = logs.withColumn("summed", summed)
-    return logs.withColumns({f"s_{k}": F.col(f"s_{k}") - F.col("summed") for k in range(n_languages)}).drop("summed")
-
-
-def train(docs: DataFrame, size: ModelSize | None = None) -> LanguageModel:
+
+def _bases(counts: DataFrame, languages: int) -> list[float]:
+    """What a key that a language lacks gives it: log(1/2) less the log of the smoothed total."""
+    totals = {r["lang"]: (r["total"], r["keys"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("keys")).collect()}
+    return [math.log(0.5) - math.log(total + 0.5 * (keys + 1)) for total, keys in (totals.get(k, (0, 0)) for k in range(languages))]
+
+
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent words with `most` entries in all: those from a class of frequency on."""
+    at = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    classes = words.groupBy(at.alias("at")).agg(F.sum(F.size("scores")).alias("entries")).collect()  # some hundred
+    total, least = 0, None
+    for r in sorted(classes, key=lambda r: -r["at"]):
+        total += r["entries"]
+        if total > most:
+            break
+        least = r["at"]
+    return words.where(at >= least if least is not None else F.lit(False))
+
+
+def train(docs: DataFrame, held: int = HELD) -> LanguageModel:
     """A model of `text, lang`; rows with a null in either are left out. Without any, the model knows no language."""
-    size = size or ModelSize()
     labelled = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text is not null and lang is not null")
-    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(size.languages + 1).collect())
-    if len(languages) > size.languages:
-        raise ValueError(f"more than {size.languages} languages")
+    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not languages:
         return LanguageModel([])
-    columns = [f"n_{k}" for k in range(len(languages))]
     counts = written(_word_counts(labelled, languages), "word-counts")
-    own = [f"s_{k}" for k in range(len(languages))]
-    frequent, totals = _most_frequent(counts, "word", len(languages), size.frequent, [])
-    words = _with_posteriors(counts, totals, len(languages), []).select("word", *own)
-    table = _with_posteriors(frequent, totals, len(languages), []).select("word", *own).toArrow()
-    held = {w: k for k, w in enumerate(table["word"].to_pylist())}
-    scores = np.stack([table[c].to_numpy() for c in own], axis=1)
-    words = written(words, "word-scores")
-    grams = counts.select(F.explode(_cut(F.col("word"), range(1, size.longest + 1))).alias("g"), *columns).groupBy("g.size", "g.gram").agg(*[F.sum(c).alias(c) for c in columns])
-    grams = written(grams, "gram-counts")
-    totals = _most_frequent(grams, "gram", len(languages), 0, ["size"])[1]
-    return LanguageModel(languages, words, _with_posteriors(grams, totals, len(languages), ["size"]).select("size", "gram", *own), size.longest, held, scores)
-
-
-def _cut(word: Column, sizes: Iterable[int]) -> Column:
-    """The n-grams of a word between spaces, as structs of size and gram; none where the word is shorter."""
-    marked = F.concat(F.lit(" "), word, F.lit(" "))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda k: F.struct(F.lit(n).alias("size"), F.substring(marked, k, F.lit(n)).alias("gram")))
-    none = F.array().cast("array<struct<size:int,gram:string>>")
-    return F.flatten(F.array(*[F.when(F.length(marked) >= n, of(n)).otherwise(none) for n in sizes]))
-
-
-def _unlearned_scores(words: DataFrame, model: LanguageModel, longest: int) -> DataFrame:
-    """`word, s_0, ...` of distinct words that weren't learned: the mean over their longest n-grams that were, or even odds."""
-    own = [f"s_{k}" for k in range(len(model.languages))]
+    words = written(_scored(counts, "word"), "word-scores")
+    table = _frequent(words, held).select("word", "scores").toArrow()
+    scores = table["scores"].combine_chunks()
+    flat = scores.flatten()
+    # each start of an n-gram of any size is that of one of the longest size, which ends in padding near a word's end
+    marked = F.concat(F.lit(" "), F.col("word"), F.lit(" " + _PAD * (LONGEST - 1)))
+    starts = F.transform(F.sequence(F.lit(1), F.length("word") + 2), lambda k: F.substring(marked, k, F.lit(LONGEST)))
+    longest = counts.select(F.explode(starts).alias("gram"), "lang", "n").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    of = F.filter(F.array(*[F.struct(F.lit(n).alias("size"), F.substring("gram", 1, n).alias("gram")) for n in range(1, LONGEST + 1)]), lambda g: ~F.contains(g["gram"], F.lit(_PAD)))
+    grams = written(longest.select(F.explode(of).alias("g"), "lang", "n").groupBy("g.size", "g.gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
+    base = [_bases(counts, len(languages)), *(_bases(grams.where(F.col("size") == n), len(languages)) for n in range(1, LONGEST + 1))]
+    return LanguageModel(
+        languages,
+        words,
+        written(_scored(grams, "size", "gram"), "gram-scores"),
+        base,
+        {w: k for k, w in enumerate(table["word"].to_pylist())},
+        np.append(0, np.cumsum(scores.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64),
+        flat.field("key").to_numpy(zero_copy_only=False).astype(np.int64),
+        flat.field("w").to_numpy(zero_copy_only=False),
+    )
+
+
+def _level(n: int) -> int:
+    """The key under which the number of n-grams, or of words (0), goes with the scores."""
+    return -1 - n
+
+
+def _unlearned_scores(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """`word, scores` of distinct words that weren't learned: the mean over their longest n-grams that were. Without any it has no row."""
     done, left = [], words
-    for n in range(longest, 0, -1):
-        grams = left.select("word", F.explode(_cut(F.col("word"), [n])).alias("g")).select("word", "g.gram")
-        found = grams.hint("merge").join(model.grams.where(F.col("size") == n).drop("size"), "gram").groupBy("word").agg(*[F.avg(c).alias(c) for c in own])
-        found = written(found, "unlearned-words")
+    marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    for n in range(LONGEST, 0, -1):
+        cut = F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda k: F.substring(marked, k, F.lit(n)))  # noqa: B023
+        grams = left.where(F.length(marked) >= n).select("word", F.explode(cut).alias("gram"))
+        known = grams.hint("merge").join(model.grams.where(F.col("size") == n).select("gram", "scores"), "gram")
+        entries = known.select("word", F.explode(F.concat("scores", F.array(F.struct(F.lit(_level(n)).alias("key"), F.lit(1.0).alias("w"))))).alias("e"))
+        sums = entries.groupBy("word", "e.key").agg(F.sum("e.w").alias("w")).groupBy("word").agg(F.collect_list(F.struct("key", "w")).alias("scores"))
+        count = F.element_at(F.filter("scores", lambda e: e["key"] == _level(n)), 1)["w"]  # noqa: B023
+        found = written(sums.select("word", F.transform("scores", lambda e: F.struct(e["key"].alias("key"), (e["w"] / count).alias("w"))).alias("scores")), "unlearned-words")  # noqa: B023
         done.append(found)
         left = written(left.hint("merge").join(found.select("word"), "word", "left_anti"), "words-left")
-    even = -math.log(len(model.languages))
-    return reduce(DataFrame.unionByName, [*done, left.select("word", *[F.lit(even).alias(c) for c in own])])
+    return reduce(DataFrame.unionByName, done)
 
 
 def _text_id(text: Column) -> Column:
@@ -183,60 +167,83 @@ def _text_id(text: Column) -> Column:
 
 
 def _facts(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Of each distinct text the number of its words, the sums of the held words' scores, and its other words with counts."""
-    held = docs.sparkSession.sparkContext.broadcast((model.frequent, model.frequent_scores))
-    own = [f"s_{k}" for k in range(len(model.languages))]
+    """Of each distinct text the number of its words, what the held ones add to each language, and its other words with counts."""
+    languages = len(model.languages)
+    shared = docs.sparkSession.sparkContext.broadcast((model.held, model.starts, model.entries, model.weights, np.array(model.base[0])))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, scores = held.value
-        for batch in small(batches):
-            sizes, sums, others, times = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = Counter(WORD.findall(text.lower())) if text else Counter()
-                known = [(rows[w], n) for w, n in words.items() if w in rows]
-                rest = [(w, n) for w, n in words.items() if w not in rows]
-                at, n = np.array(known, np.int64).reshape(-1, 2).T
-                sums.append(n @ scores[at])
-                sizes.append(sum(words.values()))
-                others.append([w for w, _ in rest])
-                times.append([n for _, n in rest])
-            columns = list(np.array(sums).reshape(-1, len(own)).T)
-            arrays = [batch.column("text_id"), pa.array(sizes, pa.int64()), *[pa.array(c) for c in columns], pa.array(others, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["text_id", "size", *own, "others", "times"])
-
-    schema = f"text_id long, size long, {', '.join(f'{c} double' for c in own)}, others array<string>, times array<long>"
-    found = docs.select(_text_id(F.col("text")).alias("text_id"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(count, schema)
+        held, starts, entries, weights, base = shared.value
+        for batch in small(batches, max(1, min(1000, 4_000_000 // languages))):
+            sizes, others, times = [], [], []
+            owner: list[int] = []
+            known: list[int] = []
+            often: list[int] = []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                words = Counter(WORD.findall(text.lower()))
+                sizes.append(words.total())
+                others.append([])
+                times.append([])
+                for w, n in words.items():
+                    at = held.get(w)
+                    if at is None:
+                        others[k].append(w)
+                        times[k].append(n)
+                    else:
+                        owner.append(k)
+                        known.append(at)
+                        often.append(n)
+            at, of, n = np.array(known, np.int64), np.array(owner, np.int64), np.array(often, float)
+            lengths = starts[at + 1] - starts[at]
+            place = np.repeat(starts[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            sums = np.bincount(np.repeat(of, lengths) * languages + entries[place], np.repeat(n, lengths) * weights[place], len(sizes) * languages).astype(float).reshape(-1, languages)
+            sums += np.bincount(of, n, len(sizes))[:, None] * base
+            lists = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, languages, dtype=np.int32), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), pa.array(sizes, pa.int64()), lists, pa.array(others, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], names=["text_id", "size", "sums", "others", "times"])
+
+    found = docs.select(_text_id(F.col("text")).alias("text_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    found = found.mapInArrow(count, "text_id long, size long, sums array<double>, others array<string>, times array<long>")
     return written(found.dropDuplicates(["text_id"]), "texts")
 
 
+def _other_sums(facts: DataFrame, model: LanguageModel) -> DataFrame:
+    """`text_id, others`: a map of what the words that tasks don't hold add, by language and by level."""
+    rows = facts.select("text_id", F.explode(F.arrays_zip("others", "times")).alias("x")).select("text_id", F.col("x.others").alias("word"), F.col("x.times").alias("n"))
+    one = F.array(F.struct(F.lit(_level(0)).alias("key"), F.lit(1.0).alias("w")))
+    learned = model.words.select("word", F.concat("scores", one).alias("scores"))
+    rows = written(rows.hint("merge").join(learned, "word", "left").select("text_id", F.when(F.col("scores").isNull(), F.col("word")).alias("word"), "n", "scores"), "other-words")
+    unlearned = rows.where("word is not null").select("text_id", "word", "n")
+    scores = _unlearned_scores(written(unlearned.select("word").distinct(), "unlearned"), model)
+    both = rows.where("word is null").select("text_id", "n", "scores").unionByName(unlearned.hint("merge").join(scores, "word").select("text_id", "n", "scores"))
+    entries = both.select("text_id", "n", F.explode("scores").alias("e"))
+    sums = entries.groupBy("text_id", "e.key").agg(F.sum(F.col("n") * F.col("e.w")).alias("w"))
+    return sums.groupBy("text_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("others"))
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Adds `lang_pred` and `score` to rows with a `text`: the likeliest learned language and its share of the evidence.
 
-    A text that is null or has no letter gets `und` and 0, and so does every text if no language was learned. Columns of
-    these two names are replaced; all others stay, and only `text` is read.
+    A text that is null or has no letter gets `und` and 0, and so does every text if no language was learned. Of equally
+    likely languages the first by name is taken. Columns of these two names are replaced; all others stay, and only
+    `text` is read.
     """
     docs = docs.drop("lang_pred", "score")
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    own = [f"s_{k}" for k in range(len(model.languages))]
     facts = _facts(docs, model)
-    rows = facts.select("text_id", F.explode(F.arrays_zip("others", "times")).alias("x")).select("text_id", F.col("x.others").alias("word"), F.col("x.times").alias("n"))
-    words = written(rows.select("word").distinct(), "words")
-    learned = written(words.hint("merge").join(model.words, "word"), "learned-words")
-    unlearned = words.hint("merge").join(learned.select("word"), "word", "left_anti")
-    scores = learned.unionByName(_unlearned_scores(written(unlearned, "other-words"), model, model.longest))
-    sums = rows.hint("merge").join(scores, "word").groupBy("text_id").agg(*[F.sum(F.col(c) * F.col("n")).alias(f"o{c}") for c in own])
-    total = facts.drop("others", "times").hint("merge").join(sums, "text_id", "left")
+    total = facts.select("text_id", "size", "sums").hint("merge").join(_other_sums(facts, model), "text_id", "left").where("size > 0")
+    at = lambda k: F.coalesce(F.try_element_at("others", k), F.lit(0.0))
+    numbers = lambda xs: F.split(F.lit(" ".join(map(repr, xs))), " ").cast("array<double>")
+    added = lambda x, k: reduce(lambda a, n: a + at(F.lit(_level(n))) * F.get(numbers(model.base[n]), k), range(LONGEST + 1), x + at(k))
     # neighbouring words aren't independent
-    total = total.where("size > 0").select("text_id", F.array(*[(F.col(c) + F.coalesce(f"o{c}", F.lit(0.0))) / F.sqrt("size") for c in own]).alias("total"))
+    total = total.select("text_id", F.transform("sums", lambda x, k: added(x, k) / F.sqrt("size")).alias("total"))
     most = F.array_max("total")
     best = F.array_position("total", most).cast("int")
     odds = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - most))
     names = F.array(*[F.lit(x) for x in model.languages])
-    told = written(total.select(F.col("text_id").alias("\nid"), F.element_at(names, best).alias("lang_pred"), (1 / odds).alias("score")), "languages")
+    told = written(total.select(F.col("text_id").alias("\nid"), F.element_at(names, best).alias("\npred"), (1 / odds).alias("\nscore")), "languages")
     joined = docs.withColumn("\ntext id", F.when(F.col("text").isNotNull(), _text_id(F.col("text"))))
     joined = joined.hint("merge").join(told, F.col("\ntext id") == F.col("\nid"), "left")
-    return joined.select(*docs.columns, F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return joined.select(*docs.columns, F.coalesce("\npred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("\nscore", F.lit(0.0)).alias("score"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pagemill.llm import line_dedup, minhash_join, multiset_hash, packing, secre
 from pagemill.llm.components import connected, pair_units
 from pagemill.llm.decontamination import Phrases, find_contamination, with_verdict
 from pagemill.llm.fm_index import FMIndex
-from pagemill.llm.language_id import identify, train
+from pagemill.llm.language_id import identify, op7_language_id, train
 from pagemill.llm.shared import shared_folder
 from pagemill.llm.tokens import encoder, tokenizer_path
 from pagemill.llm.words import lines_of
@@ -166,6 +166,30 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in identify(tests, nothing).collect()} == {"und"}
 
 
+def test_language_id_takes_letters_only(spark):
+    model = train(spark.createDataFrame([("the house", "en"), ("la casa", "es")], "text string, lang string"))
+    texts = ["½ ② ²", "Ⅷ ³", "_ 1 ٣", "ª", "½the", None, " "]
+    found = {r["doc_id"]: r["lang_pred"] for r in identify(frame(spark, list(enumerate(texts))), model).collect()}
+    assert [found[k] == "und" for k in range(7)] == [not any(c.isalpha() for c in t or "") for t in texts] and found[4] == "en"
+
+
+def test_language_id_with_very_many_labels(spark):
+    docs = [(f"w{chr(97 + k % 26)}{chr(97 + k // 26)} common words", f"label {k:03}") for k in range(450)]
+    model = train(spark.createDataFrame(docs, "text string, lang string"))
+    found = identify(frame(spark, [(k, docs[k][0]) for k in range(0, 450, 50)]), model).collect()
+    assert len(model.languages) == 450 and all(r["lang_pred"] == docs[r["doc_id"]][1] for r in found)
+
+
+def test_language_id_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = op7_language_id(spark, folder).where("held_out").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'")
+    right, total = found.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert total > 200 and right >= 0.98 * total
+
+
 def test_language_id_keeps_all_counts(spark):
     """Over 30,000 words, and over 10,000 n-grams, of a language: scores are those of brute force over all counts."""
     rng = random.Random(5)
