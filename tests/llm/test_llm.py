@@ -417,3 +417,27 @@ def test_line_dedup_against_all_pairs(spark):
     left = {x.decode() for r in line_dedup.dedup_lines(docs).collect() for x in words(r["text"])}
     assert len(near) > 200 and sum(not (a in left and b in left) for a, b in near) >= 0.9 * len(near)
     assert left <= set(lines)
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    clashing = ["content", "score", "lang_pred", "n_lines", "n_removed", "n_words", "n_hit", "hit_items", "contaminated", "id", "key", "value"]
+    docs = [(k, prose(60), "en" if k % 2 else None, "s", 1, *[f"{c} {k}" for c in clashing]) for k in range(1, 5)]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{c} string' for c in clashing)}"
+    spark.createDataFrame([(1, prose(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(docs, schema)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
+
+
+@pytest.mark.parametrize("labels", [True, False])
+def test_pipeline_on_empty_tables_and_without_labels(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [] if labels else [(1, prose(60), None, "s", 1), (2, "12", None, "s", 1), (None, None, None, None, None), (None, prose(50), None, "s", 1)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()) == ([] if labels else [0, 1])
