@@ -6,18 +6,19 @@ numbers and underscore of any script, so that they don't depend on the Java vers
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import WORD_CHAR, WORD_END, WORD_START, replaced, strip
+from pagemill.functions.text import WORD_CHAR, WORD_END, WORD_START, replaced, split_lines, strip
 
 Rules = Sequence[tuple[str, str]]
 
 
 def _word(w: str, tail: str = WORD_END) -> str:
-    return f"{WORD_START}{w}{tail}"
+    """A whole word. Plain characters come first, so that the boundary is looked at only where they are."""
+    return f"{w}(?<!{WORD_CHAR}{w}){tail}" if w.isalnum() else f"{WORD_START}{w}{tail}"
 
 
 # The rules, in their order.
@@ -115,7 +116,7 @@ def optimize_text(text: Column, custom: Iterable = (), off: Iterable[str] = ())
 
 # Marks of the kinds of markdown lines.
 IMAGE_LINE, HEADER_LINE = r"^!\[.*\]\(.*\)", r"^(#+)\s*(.*)$"
-BLOCKS = r"(?s)<table.*?</table>|(?m:^\*\*(?:Encabezado|Pie de página):\*\*[^\n]*$)|!\[[^\]\n]*\]\([^)\n]*\)"
+BLOCKS = r"(?s)(?i:<table\b.*?</table>)|(?m:^\*\*(?:Encabezado|Pie de página):\*\*[^\n]*$)|!\[[^\]\n]*\]\([^)\n]*\)"
 
 
 def segments(text: Column) -> Column:
@@ -146,27 +147,54 @@ def with_optimized_markdown(df: DataFrame, text: str = "text", name: str = "opti
     return df.withColumn(name, optimize_markdown(F.col(text)))
 
 
-# What plain text leaves out.
-LABELS = r"^\*\*(Encabezado|Pie de página|Header|Footer):?\*\*"
-MARKUP = [(r"(?s)<[^>]+>", ""), (r"^#+\s*", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1")]
-#: Entities that are decoded; numeric ones are too.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# What plain text takes out of a line or changes, in order.
+TAGS = [("</?[a-zA-Z][^>]*>", ""), ("<([^<>]{1,200})>", "$1")]
+LABELS = [("**Encabezado:**", "Encabezado:"), ("**Pie de página:**", "Pie de página:")]
+MARKUP = [(r"^#+\s*", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1")]
+# Named entities that are decoded. The ampersand's is last, so that nothing is decoded twice.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "iexcl": "¡", "iquest": "¿", "ordf": "ª", "ordm": "º", "deg": "°",
+    "sect": "§", "para": "¶", "middot": "·", "laquo": "«", "raquo": "»", "copy": "©", "reg": "®", "euro": "€", "ndash": "–", "mdash": "—",
+    "hellip": "…", "bull": "•", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "frac12": "½", "frac14": "¼", "frac34": "¾",
+    "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "uuml": "ü",
+    "Aacute": "Á", "Eacute": "É", "Iacute": "Í", "Oacute": "Ó", "Uacute": "Ú", "Ntilde": "Ñ", "Uuml": "Ü", "amp": "&",
+}
+
+
+def _decoded(text: Column, reference: str, number: Callable[[Column], Column]) -> Column:
+    """The text with numeric references as characters; those of no character stay, and so does the ampersand's."""
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(reference), F.lit(1))), lambda x: number(x).between(32, 0x10FFFF) & ~number(x).between(0xD800, 0xDFFF) & ~number(x).between(0x7F, 0x9F) & (number(x) != 38))
+    mark = reference[: reference.index("(")]
+    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(number(x)), 8, "0")), "UTF-32")
+    return F.aggregate(found, text, lambda t, x: F.replace(t, F.concat(F.lit(mark), x, F.lit(";")), char(x)))
 
 
 def unescape(text: Column) -> Column:
-    """Named entities of ENTITIES and decimal references below 128, decoded by replacement; the ampersand last."""
-    for n in (34, 39, 60, 62, 160):
-        text = F.replace(text, F.lit(f"&#{n};"), F.lit(chr(n)))
+    """Numeric references of printable characters and the entities of ENTITIES, which end in a semicolon, decoded once."""
+    known = _decoded(text, "&#([0-9]{1,7});", lambda x: x.cast("long"))
+    for mark in ("x", "X"):
+        known = _decoded(known, f"&#{mark}([0-9a-fA-F]{{1,6}});", lambda x: F.conv(x, 16, 10).cast("long"))
     for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+        known = F.replace(known, F.lit(f"&{name};"), F.lit(char))
+    for mark in ("&#38;", "&#x26;", "&#X26;"):
+        known = F.replace(known, F.lit(mark), F.lit("&"))
+    return F.when(text.contains("&"), known).otherwise(text)
 
 
 def plain_text(markdown: Column) -> Column:
-    """The lines of a markdown text without tags, images, labels, header marks, emphasis and links; blank ones are dropped."""
-    lines = F.transform(F.split(markdown, "\n"), lambda x: strip(x))
-    lines = F.filter(lines, lambda x: (x != "") & ~x.startswith("![") & ~x.rlike(LABELS))
-    return F.array_join(F.filter(F.transform(lines, lambda x: strip(replaced(unescape(replaced(x, MARKUP[:1])), MARKUP[1:]))), lambda x: x != ""), "\n")
+    """The lines of a markdown text without tags, images, header marks, emphasis and links; blank ones are dropped.
+
+    Entities are decoded first, then tags go; what else is in angle brackets loses these only. Lines of page headers and
+    footers keep their labels, without emphasis. Blanks at the ends of lines stay.
+    """
+
+    def line(x: Column) -> Column:
+        x = replaced(unescape(x), TAGS)
+        for label, plain in LABELS:
+            x = F.replace(x, F.lit(label), F.lit(plain))
+        return F.when(~strip(x).startswith("!["), replaced(x, MARKUP))
+
+    return F.array_join(F.filter(F.transform(split_lines(markdown), line), lambda x: x.rlike(r"(?U)\S")), "\n")
 
 
 def plain_preview(markdown: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Whether a text is null, empty or only white space."""
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
 def split_lines(text: Column) -> Column:
@@ -38,12 +38,20 @@ def split_lines(text: Column) -> Column:
 
 
 def replaced(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    """The text after each regular-expression rule in turn."""
+    """The text after each regular-expression rule in turn; a rule of plain characters needs no expression."""
     for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+        if any(c in pattern for c in r"\.[]{}()*+?^$|") or any(c in replacement for c in r"\$"):
+            text = F.regexp_replace(text, pattern, replacement)
+        else:
+            text = F.replace(text, F.lit(pattern), F.lit(replacement))
     return text
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)`, with the value computed once a row however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def count_of(text: Column, chars: str) -> Column:
     """How many characters of a text are among `chars`."""
     return F.length(text) - F.length(F.translate(text, chars, ""))

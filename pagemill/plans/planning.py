@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import bound
+
 # Limits of the service, safety factors, model constants.
 API_MAX_MB, API_MAX_PAGES = 100.0, 1000
 SIZE_FACTOR, PAGE_FACTOR = 0.96, 0.90
@@ -113,17 +115,15 @@ def alternative_plans(limits: Limits = Limits()) -> Column:
         chunks.append(F.struct(plan.alias("plan"), F.lit(k).alias("order"), (F.col("total_pages") > pages) & is_optimal(plan, limits)))
     options = F.filter(F.concat(plain, F.array(*chunks).cast("array<struct<plan:struct<num_files:int,pages_per_file:int,mb_per_file:double,strategy:string,score:double,warnings:array<string>>,order:int,kept:boolean>>")), lambda o: o["kept"])
     ranked = F.array_sort(F.transform(options, lambda o: F.struct((-o["plan"]["score"]).alias("by"), o["order"].alias("order"), o["plan"].alias("plan"))))
-    plans = F.transform(ranked, lambda o: o["plan"])
     same = lambda a, b: (a["num_files"] == b["num_files"]) & (a["pages_per_file"] == b["pages_per_file"])
-    distinct = F.filter(plans, lambda p, k: ~F.exists(F.slice(plans, F.lit(1), k), lambda q: same(p, q)))
+    distinct = bound(F.transform(ranked, lambda o: o["plan"]), lambda plans: F.filter(plans, lambda p, k: ~F.exists(F.slice(plans, F.lit(1), k), lambda q: same(p, q))))
     return F.when(F.col("requires_splitting"), F.slice(distinct, 1, 3)).otherwise(F.array(split_plan(F.lit(1), limits)))
 
 
 def recommendations(limits: Limits = Limits()) -> Column:
     """The optimal plan, then the alternatives of other numbers of parts."""
-    best = optimal_plan(limits)
-    others = F.filter(alternative_plans(limits), lambda p: best.isNull() | (p["num_files"] != best["num_files"]))
-    return F.array_compact(F.concat(F.array(best), others))
+    others = lambda best: F.filter(alternative_plans(limits), lambda p: best.isNull() | (p["num_files"] != best["num_files"]))
+    return F.array_compact(bound(optimal_plan(limits), lambda best: F.concat(F.array(best), others(best))))
 
 
 def even_pages(pages: Column, n: Column) -> Column:

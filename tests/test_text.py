@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +52,10 @@ def test_markdown_keeps_images_and_tables(spark):
 
 
 def test_plain_text_and_case_references(spark):
-    assert one(spark, "# Uno\n\n![i](i)\n**dos** [tres](u) &lt;x&gt;", R.plain_text) == "Uno\ndos tres <x>"
+    assert one(spark, "# Uno\n\n![i](i)\n**dos** [tres](u) &lt;x&gt;", R.plain_text) == "Uno\ndos tres "
+    assert one(spark, "**Encabezado:** *uno*\r\n  **Pie de página:** dos ", R.plain_text) == "Encabezado: uno\n  Pie de página: dos "
+    assert one(spark, "a &lt; 2 <10> &#233;&#xF1;&oacute; &amp;lt; &#38;gt; <b c='d'>e</b>", R.plain_text) == "a < 2 10 éñó &lt; &gt; e"
+    assert one(spark, "&#0;&#9999999; x", R.plain_text) == "&#0;&#9999999; x" and one(spark, None, R.plain_text) is None
     assert one(spark, "ver <1a.j. 35/2019 (10a.)> y <b>", R.escape_case_refs) == "ver &lt;1a.j. 35/2019 (10a.)&gt; y <b>"
 
 
@@ -110,3 +115,29 @@ def test_pages_with_tables_and_images(spark):
     assert explode_images(frame).first()["image_key"] == "i1"
     plain = {r["doc_id"]: r["text"] for r in A.assemble_text(frame).collect()}["d"]
     assert "=== PÁGINA 2 ===\n\n" in plain and "Imagen (plot): curva" in plain
+
+
+def test_rules_in_another_engine(spark):
+    """The whole profile by another engine of expressions, on the texts of a given table."""
+    import regex
+
+    from pagemill.plans import views as V
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+
+    def slow(text):
+        for pattern, replacement in R.profile_rules():
+            text = regex.sub(pattern, regex.sub(r"\$(\d)", r"\\g<\1>", replacement), text)
+        return text
+
+    docs = V.noisy(spark, folder).select("text").where("text is not null")
+    marked = F.concat("text", F.lit(" rn cl. vvii Il lI nn eI la5 de7 el3 5l5 5O5 ¦§¢ ARTICULO CAP iTULO I V V I 1/2 <= != ''x'' 'y' --- __ (a\nb) a5 5a .A"))
+    for r in docs.select(marked.alias("t"), R.optimize_text(marked).alias("found")).collect():
+        assert r["found"] == slow(r["t"])
+
+
+def test_tables_in_capitals_are_kept(spark):
+    text = "uno ,dos\n<TABLE a='1'>\nrn ,x</Table> rn\n<tablero ,x"
+    assert one(spark, text, R.optimize_markdown) == "uno, dos\n<TABLE a='1'>\nrn ,x</Table> m\n<tablero, x"
