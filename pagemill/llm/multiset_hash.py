@@ -5,7 +5,7 @@ of these vectors, lane by lane modulo a power of two. So it doesn't depend on th
 deleting one adds or subtracts its vector. An array of longs holds
 
 * one lane: the number of clauses, modulo 2^20;
-* 16 lanes modulo 2^32 for equality, from hashes of the whole paragraph;
+* 16 lanes modulo 2^32 for equality, from two 64-bit hashes of the whole paragraph;
 * 63 lanes modulo 2^20 for likeness, three to a long: how many clauses (what punctuation separates) have each bit set in
   their hash. Taken as signs, they are a sketch whose inner products estimate how many clauses two texts share; the
   standard error is about 1/8 of the clauses.
@@ -39,9 +39,9 @@ def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds a text column's vector; null is the empty text, which has one empty paragraph."""
     paragraphs = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
     whole, parts = f"{name} paragraphs", f"{name} clauses"  # columns of their own, so that they are made once
-    df = df.withColumn(whole, F.transform(paragraphs, lambda p: F.xxhash64(p)))
+    df = df.withColumn(whole, F.transform(paragraphs, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(7), p).alias("b"))))
     df = df.withColumn(parts, F.transform(F.flatten(F.transform(paragraphs, lambda p: F.filter(F.split(p, _CLAUSE_END), lambda c: c != ""))), lambda c: F.xxhash64(c, F.lit(1))))
-    equal = _sums(F.col(whole), EQUAL_LANES, lambda k: lambda a, h: _and(a + _and(F.xxhash64(h, F.lit(k)), _M32), _M32))
+    equal = _sums(F.col(whole), EQUAL_LANES, lambda k: lambda a, h: _and(a + _and(F.xxhash64(h["a"], h["b"], F.lit(k)), _M32), _M32))
     alike = _sums(F.col(parts), _PACKED, lambda k: lambda a, h: _and(a + _and(F.shiftrightunsigned(h, k), _ONES), _FULL))
     vector = F.array(_and(F.size(parts).cast("long"), (1 << 20) - 1), *equal, *alike)
     return df.withColumn(name, vector).drop(whole, parts)
