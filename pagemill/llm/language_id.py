@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.shared import small, written
 
-#: Runs of letters: what `\w` has besides digits and `_` are letters and other numbers, and the latter are left out.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Runs of letters and of numbers that aren't digits; the latter are looked for in distinct words only.
+WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 COUNTED = 150_000  # entries that a counting task holds before it hands them on
 HELD = 400_000
@@ -56,6 +55,16 @@ class LanguageModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
+def word_counts(text: str) -> Counter:
+    """How often a text has each of its runs of letters, in lower case."""
+    found = Counter(WORD.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
+
+
 def held_out() -> Column:
     """Whether a document's label is kept from training: crc32 of its id as text, modulo 4, is 2. A null id isn't."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -76,7 +85,7 @@ def _word_counts(labelled: DataFrame, languages: list[str]) -> DataFrame:
 
         for batch in small(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                held.setdefault(lang, Counter()).update(word_counts(text))
                 if sum(map(len, held.values())) > COUNTED:
                     yield out()
         if any(held.values()):
@@ -179,7 +188,7 @@ def _facts(docs: DataFrame, model: LanguageModel) -> DataFrame:
             known: list[int] = []
             often: list[int] = []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                words = Counter(WORD.findall(text.lower()))
+                words = word_counts(text)
                 sizes.append(words.total())
                 others.append([])
                 times.append([])
