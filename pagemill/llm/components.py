@@ -125,8 +125,8 @@ def membership(ids: DataFrame, column: str) -> np.ndarray:
     at = F.shiftrightunsigned(F.col(column), 44)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column).bitwiseAND(F.lit(63)).cast("int"))
     found = np.zeros(MAP_WORDS, np.uint64)
-    rows = ids.groupBy(at.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    found[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    rows = ids.groupBy(at.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return found
 
 
