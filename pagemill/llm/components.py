@@ -43,23 +43,24 @@ def _state(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def pair_units(rows: DataFrame, key: str, node: str, most: int) -> DataFrame:
+def pair_units(rows: DataFrame, key: str, node: str, most: int, weight: str | None = None) -> DataFrame:
     """Adds `i, j, chunk`: the unit of work in which a row's pairs with others of its key are looked at.
 
     A key of up to `most` rows is one unit. A larger one is cut into chunks, and each pair of chunks is a unit (within a
     chunk where i = j, between two chunks elsewhere), so every pair meets in exactly one and no unit has over about
     twice `most` rows. Which keys are large is learned from counts over 65,536 cells of keys, then of the keys in cells
-    that could hold one.
+    that could hold one. With `weight`, a column of integers from 1 on, rows count by it.
     """
     spark = rows.sparkSession
     cell = F.pmod(F.xxhash64(key), F.lit(CELLS))
-    full = [r[0] for r in rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("cell").collect()]
+    number = F.sum(weight) if weight else F.count("*")
+    full = [r[0] for r in rows.groupBy(cell.alias("cell")).agg(number.alias("n")).where(F.col("n") > most).select("cell").collect()]
     if not full:
         return rows.withColumns({"i": F.lit(0), "j": F.lit(0), "chunk": F.lit(0)})
     cells = F.broadcast(spark.createDataFrame([(c,) for c in full], "cell long"))  # 65,536 at most
     rows = rows.withColumn("cell", cell)
     here = rows.join(cells, "cell", "left_semi").drop("cell")
-    counts = written(here.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("chunks")), "units")
+    counts = written(here.groupBy(key).agg(F.ceil(number / most).cast("int").alias("chunks")), "units")
     here = here.hint("merge").join(counts, key)
     chunk = F.pmod(F.xxhash64(F.lit(7), node), F.col("chunks")).cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
