@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder's URI below the session's spark.checkpoint.dir.
 
-    Where that is unset (a local session, as in tests) a temporary folder is made and set.
+    Where that is unset, a local session (as in tests) has a temporary folder made and set; a cluster's raises ValueError,
+    as executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"
