@@ -15,6 +15,7 @@ from pagemill.llm.packing import op9_best_fit_packing
 from pagemill.llm.resampling import op11_target_resampling
 from pagemill.llm.secrets import op8_secret_scan
 from pagemill.llm.suffix_dedup import op3_suffix_dedup
+from pagemill.llm.superminhash import op13_superminhash_dedup
 from pagemill.llm.token_planes import op4_token_planes
 from pagemill.llm.warc import op10_warc
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc": op10_warc,
     "op11_target_resampling": op11_target_resampling,
+    "op13_superminhash_dedup": op13_superminhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
