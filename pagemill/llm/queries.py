@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm.alignment import op12_tokenizer_alignment
 from pagemill.llm.decontamination import op2_benchmark_decontamination
 from pagemill.llm.language_id import op7_language_id
 from pagemill.llm.line_dedup import op1_line_dedup
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc": op10_warc,
     "op11_target_resampling": op11_target_resampling,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_superminhash_dedup": op13_superminhash_dedup,
 }
 
