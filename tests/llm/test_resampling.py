@@ -63,7 +63,7 @@ def test_draws_go_towards_the_target(spark):
     rng = random.Random(1)
     near, far = [f"n{k}" for k in range(50)], [f"f{k}" for k in range(50)]
     rows = [(k, " ".join(rng.choices(near if k % 4 == 0 else far, k=40))) for k in range(400)]
-    found = R.resample(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(" ".join(near),)], "text string")).where("rank is not null").collect()
+    found = R.resample(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(" ".join(near),)] * 200, "text string")).where("rank is not null").collect()
     assert len(found) == 40 and sum(r.doc_id % 4 == 0 for r in found) >= 36
 
 
