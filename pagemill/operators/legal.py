@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import WORD_CHAR, strip
+from pagemill.operators.blocks import with_blocks
 
 # Heads of articles, fractions and subsections, and notes of amendments.
 _LEAD = r"^[#*>\s]*"
@@ -23,37 +24,49 @@ SUBSECTION = rf"{_LEAD}(?<!{WORD_CHAR})(?:\(([a-z])\)|([a-zA-Z])\)|([a-z])\s*(?:
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 _MONTH = "(?:" + "|".join(MONTHS) + ")"
 DATE = rf"(?:\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{2,4}}|\d{{1,2}}\s+{_MONTH}\s+\d{{2,4}}|{_MONTH}\s+\d{{1,2}},?\s+\d{{2,4}})"
-_A, _I, _O, _U = "[aáàâãäå]", "[iíìîï]", "[oóòôõö]", "[uúùûü]"
-_DOF = r"(?:D\.O\.F\.|DOF)"
-_ARTICULO, _PARRAFO, _FRACCION = f"art{_I}culo", f"p{_A}rrafo", f"fracci{_O}n"
-_PARTS = rf"(?:art{_I}culos?|p{_A}rrafos?|fracciones?|incisos?)"
-_ULTIMA = f"{_U}ltima"
-_ADDED, _CHANGED = rf"\s+adicionad[oa]\s+{_DOF}\s+{DATE}", rf"\s+reformad[oa]\s+{_DOF}\s+{DATE}"
+# The spellings of a vowel that recognition gives.
+VOWELS = {"a": "aáàâãäå", "i": "iíìîï", "o": "oóòôõö", "u": "uúùûü"}
+
+
+def _word(plain: str) -> str:
+    """A word in which the capital letters stand for vowels with any accent or none."""
+    return "".join(f"[{VOWELS[c.lower()]}]" if c.isupper() else c for c in plain)
+
+
+_GAZETTE = r"(?:D\.O\.F\.|DOF)"
+_PLURALS = f"(?:{_word('artIculos?')}|{_word('pArrafos?')}|fracciones?|incisos?)"
+
+
+def _done(verb: str) -> str:
+    """What a note says of a part: when the gazette had it."""
+    return rf"\s+{verb}[oa]\s+{_GAZETTE}\s+{DATE}"
+
+
 #: (kind, pattern behind the lead), in order of precedence.
 AMENDMENTS = [
-    ("addition", _ARTICULO + _ADDED),
-    ("addition", _PARRAFO + _ADDED),
-    ("addition", _FRACCION + _ADDED),
-    ("addition", "inciso" + _ADDED),
-    ("addition", rf"{_PARRAFO}\s+con\s+numerales{_ADDED}"),
-    ("addition", rf"{_PARRAFO}\s+con\s+incisos{_ADDED}"),
-    ("addition", rf"se\s+adicionan\s+(?:los\s+)?{_PARTS}.*{DATE}"),
-    ("reform", _ARTICULO + _CHANGED),
-    ("reform", _PARRAFO + _CHANGED),
-    ("reform", _FRACCION + _CHANGED),
-    ("reform", "inciso" + _CHANGED),
-    ("reform", "apartado" + _CHANGED),
-    ("reform", rf"{_FRACCION}\s+recorrid[oa]\s+{_DOF}\s+{DATE}"),
-    ("reform", rf"{_PARRAFO}\s+reformad[oa]\s+{_DOF}\s+{DATE}(?:\s*,\s*{DATE})*"),
-    ("reform", rf"{_PARRAFO}\s+adicionad[oa]\s+{_DOF}\.\s*reformad[oa]\s+{_DOF}\s+{DATE}"),
-    ("reform", rf"{_ULTIMA}\s+reforma\s+publicad[oa]\s+{_DOF}\s+{DATE}"),
-    ("reform", rf"se\s+reforman\s+(?:los\s+)?{_PARTS}.*{DATE}"),
-    ("note", rf"(?:{_ARTICULO}|{_PARRAFO}|{_FRACCION}|inciso|apartado|fe de erratas|numeral|anexo|punto).*(?:reformad[oa]|adicionad[oa]|derogad[oa]|publicad[oa]|recorrid[oa]|modificad[oa])"),
-    ("note", rf"(?:reforma|adici{_O}n|derogaci{_O}n|modificaci{_O}n|publicaci{_O}n|derog{_O}|adicion{_O}|reform{_O}|modific{_O}).*(?:D\.O\.F\.|DOF|vigente|c{_O}d|ley)"),
+    ("addition", _word("artIculo") + _done("adicionad")),
+    ("addition", _word("pArrafo") + _done("adicionad")),
+    ("addition", _word("fracciOn") + _done("adicionad")),
+    ("addition", "inciso" + _done("adicionad")),
+    ("addition", _word("pArrafo") + r"\s+con\s+numerales" + _done("adicionad")),
+    ("addition", _word("pArrafo") + r"\s+con\s+incisos" + _done("adicionad")),
+    ("addition", rf"se\s+adicionan\s+(?:los\s+)?{_PLURALS}.*{DATE}"),
+    ("reform", _word("artIculo") + _done("reformad")),
+    ("reform", _word("pArrafo") + _done("reformad")),
+    ("reform", _word("fracciOn") + _done("reformad")),
+    ("reform", "inciso" + _done("reformad")),
+    ("reform", "apartado" + _done("reformad")),
+    ("reform", _word("fracciOn") + _done("recorrid")),
+    ("reform", _word("pArrafo") + _done("reformad") + rf"(?:\s*,\s*{DATE})*"),
+    ("reform", rf"{_word('pArrafo')}\s+adicionad[oa]\s+{_GAZETTE}\.\s*reformad[oa]\s+{_GAZETTE}\s+{DATE}"),
+    ("reform", rf"{_word('Ultima')}\s+reforma\s+publicad[oa]\s+{_GAZETTE}\s+{DATE}"),
+    ("reform", rf"se\s+reforman\s+(?:los\s+)?{_PLURALS}.*{DATE}"),
+    ("note", rf"(?:{_word('artIculo')}|{_word('pArrafo')}|{_word('fracciOn')}|inciso|apartado|fe de erratas|numeral|anexo|punto).*(?:reformad[oa]|adicionad[oa]|derogad[oa]|publicad[oa]|recorrid[oa]|modificad[oa])"),
+    ("note", rf"(?:{_word('reforma|adiciOn|derogaciOn|modificaciOn|publicaciOn|derogO|adicionO|reformO|modificO')}).*(?:D\.O\.F\.|DOF|vigente|{_word('cOd')}|ley)"),
     ("note", r"se\s+(?:reforman|adicionan|derogan|modifican)\s+"),
     ("note", r"\(?(?:reformado|derogado|adicionado|reformada|derogada|adicionada|modificado|modificada)\)?(?:\s+|$)"),
-    ("note", rf"{_ULTIMA}\s+reforma\s+"),
-    ("note", rf".*{_DOF}\s*\d{{1,2}}.*(?:{_MONTH}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{1,2}}-\d{{1,2}}-\d{{2,4}})"),
+    ("note", rf"{_word('Ultima')}\s+reforma\s+"),
+    ("note", rf".*{_GAZETTE}\s*\d{{1,2}}.*(?:{_MONTH}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{1,2}}-\d{{1,2}}-\d{{2,4}})"),
     ("note", r"fe\s+de\s+erratas.*\d{1,2}"),
 ]
 PAGE_LINE = r"(?im)^\s*\d+\s+de\s+\d+\s*$"
@@ -66,9 +79,10 @@ def normalize_legal(text: Column) -> Column:
     return F.regexp_replace(text, r"[ \t]+", " ")
 
 
-def legal_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`doc_id, line_no, line` of normalised texts."""
-    return docs.select("doc_id", F.posexplode(F.split(normalize_legal(F.col(text)), "\n")).alias("line_no", "line"))
+def legal_lines(docs: DataFrame, text: str = "text", parity: bool = False) -> DataFrame:
+    """`doc_id, line_no, line, kept` of normalised texts; header and footer blocks are kept as they are."""
+    lines = docs.select("doc_id", F.posexplode(F.split(normalize_legal(F.col(text)), "\n")).alias("line_no", "line"))
+    return with_blocks(lines, parity)
 
 
 def is_article(line: Column) -> Column:
@@ -134,11 +148,13 @@ def with_structure(lines: DataFrame) -> DataFrame:
     """Adds to lines their section (preamble, article, orphan), article_seq, fraction_seq, subsection_seq and amendment pattern.
 
     An orphan stands between a separator line and the next article. Sequences count from 1, and 0 is what precedes the
-    first. One sort of a document's lines serves all sums.
+    first. One sort of a document's lines serves all sums. Lines that are `kept` (see `blocks.with_blocks`), if there is
+    such a column, are text of where they stand, whatever they look like.
     """
     by_line = Window.partitionBy("doc_id").orderBy("line_no")
-    found = lines.withColumns({"is_article": is_article(F.col("line")), "is_separator": F.col("line").rlike(SEPARATOR), "amendment": amendment_pattern(F.col("line"))})
-    free = ~F.col("is_article") & F.col("amendment").isNull()
+    read = ~F.coalesce("kept", F.lit(False)) if "kept" in lines.columns else F.lit(True)
+    found = lines.withColumns({"is_article": read & is_article(F.col("line")), "is_separator": read & F.col("line").rlike(SEPARATOR), "amendment": F.when(read, amendment_pattern(F.col("line")))})
+    free = read & ~F.col("is_article") & F.col("amendment").isNull()
     found = found.withColumns({"numeral": F.when(free, fraction_numeral(F.col("line"))), "letter": F.when(free, subsection_letter(F.col("line")))})
     found = found.withColumn("letter", F.when(F.col("numeral").isNull(), F.col("letter")))
     seen = lambda c, w: F.coalesce(F.sum(c.cast("long")).over(w), F.lit(0).cast("long"))

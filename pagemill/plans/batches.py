@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.prefix import prefix_sums
 from pagemill.plans.planning import Limits, expand_parts, optimal_plan, with_split_needs
 
 # What names number their volume by, and words of service errors.
@@ -20,10 +21,15 @@ def order_key(name: Column) -> Column:
     return F.struct(number.isNull().cast("int").alias("unnumbered"), number.alias("number"), F.when(number.isNull(), low).alias("name"))
 
 
+def natural_order(files: DataFrame, batch: str, name: str, tie: str) -> DataFrame:
+    """Adds `place`, from 1: a file's place in its batch by its name, of equal names by `tie`. No task reads a whole batch."""
+    return prefix_sums(files, [batch], [order_key(F.col(name)), F.col(tie)], {"place": F.lit(1).cast("long")})
+
+
 def page_offsets(files: DataFrame, batch: str, order: str, pages: str = "total_pages") -> DataFrame:
-    """Adds `page_offset`: the pages of a batch's files before this one; unknown pages count 0."""
-    before = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("page_offset", F.coalesce(F.sum(F.coalesce(F.col(pages), F.lit(0))).over(before), F.lit(0)).cast("long"))
+    """Adds `page_offset`: the pages of a batch's files before this one; unknown pages count 0. No task reads a whole batch."""
+    own = F.coalesce(F.col(pages), F.lit(0)).cast("long")
+    return prefix_sums(files, [batch], [F.col(order)], {"page_offset": own}).withColumn("page_offset", F.col("page_offset") - own)
 
 
 def processing_plan(files: DataFrame, batch: str, order: str, limits: Limits = Limits()) -> DataFrame:

@@ -164,11 +164,7 @@ def natural_order(spark, d):
     f = V.table(spark, d, "documents")
     k = F.col("doc_id")
     name = F.when(k % 4 == 0, F.concat(F.lit("Vol_"), k)).when(k % 4 == 1, F.concat(F.lit("informe tomo "), k % 17)).when(k % 4 == 2, F.concat(F.lit("x/Parte-"), k)).otherwise(F.concat(F.lit("anexo "), F.col("lang")))
-    f = f.select("doc_id", "source", name.alias("name"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy(B.order_key(F.col("name")), "doc_id"))
-    return f.select("doc_id", "name", place.cast("long").alias("place"))
+    return B.natural_order(f.select("doc_id", "source", name.alias("name")), "source", "name", "doc_id").select("doc_id", "name", "place")
 
 
 def page_offsets(spark, d):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagemill.plans import planning_queries, text_queries
+from pagemill.plans import page_queries, planning_queries, text_queries
 
-_MODULES = (planning_queries, text_queries)
+_MODULES = (planning_queries, text_queries, page_queries)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
