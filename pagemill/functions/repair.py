@@ -114,13 +114,21 @@ def optimize_text(text: Column, custom: Iterable = (), off: Iterable[str] = ())
     return replaced(text, profile_rules(off, custom))
 
 
-# Marks of the kinds of markdown lines.
-IMAGE_LINE, HEADER_LINE = r"^!\[.*\]\(.*\)", r"^(#+)\s*(.*)$"
-BLOCKS = r"(?s)(?i:<table\b.*?</table>)|(?m:^\*\*(?:Encabezado|Pie de página):\*\*[^\n]*$)|!\[[^\]\n]*\]\([^)\n]*\)"
+# A heading's marks and title, tables in HTML, and header and footer blocks up to an empty line.
+HEADING = r"^(#+)\s*([^\n]+)"
+HTML_TABLE = r"(?is)<table\b.*?</table>"
+BLOCKS = rf"(?:{HTML_TABLE})|(?:(?m)^\*\*Encabezado:\*\*[^\n]*(?:\n[^\n]+)*)|(?:(?<=\n\n)\*\*Pie de página:\*\*[^\n]*(?:\n[^\n]+)*)"
+
+
+def line_kind(line: Column) -> Column:
+    """image, heading, mark (of headings, without a title or behind blanks) or text."""
+    bare = strip(line)
+    heading = F.when(line.rlike(HEADING), "heading").otherwise("mark")
+    return F.when(bare.startswith("!["), "image").when(bare.startswith("#"), heading).otherwise("text")
 
 
 def segments(text: Column) -> Column:
-    """A markdown text as `kind, value` parts: `kept` for tables in HTML, header and footer labels and images, else `text`.
+    """A markdown text as `kind, value` parts: `kept` for tables in HTML and header and footer blocks, else `text`.
 
     The parts joined are the text. What must not be repaired is a part of its own instead of a placeholder, so nothing
     can be damaged or lost on the way back.
@@ -132,12 +140,16 @@ def segments(text: Column) -> Column:
 
 
 def optimize_markdown(text: Column, custom: Iterable = (), off: Iterable[str] = ()) -> Column:
-    """Repairs a markdown text line by line: images and protected blocks stay, of headers the title is repaired."""
+    """Repairs a page's markdown line by line; `operators.markdown` does so for tables of documents, with drawn tables.
+
+    Lines that an image opens and protected blocks stay, of headings the title is repaired.
+    """
     rules = profile_rules(off, custom)
 
     def line(x: Column) -> Column:
-        title = F.concat(F.regexp_extract(x, HEADER_LINE, 1), F.lit(" "), replaced(F.regexp_extract(x, HEADER_LINE, 2), rules))
-        return F.when(x.rlike(IMAGE_LINE) | (x == ""), x).when(x.rlike(HEADER_LINE), title).otherwise(replaced(x, rules))
+        kind = line_kind(x)
+        fixed = replaced(F.when(kind == "heading", F.regexp_extract(x, HEADING, 2)).otherwise(x), rules)
+        return F.when(kind.isin("image", "mark") | (x == ""), x).when(kind == "heading", F.concat(F.regexp_extract(x, HEADING, 1), F.lit(" "), fixed)).otherwise(fixed)
 
     part = lambda s: F.when(s["kind"] == "kept", s["value"]).otherwise(F.array_join(F.transform(F.split(s["value"], "\n"), line), "\n"))
     return F.when(text == "", text).otherwise(F.array_join(F.transform(segments(text), part), ""))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.operators import legal as L
+from pagemill.operators import markdown as M
+from pagemill.plans import table_sql
 from pagemill.plans import views as V
+from pagemill.plans.text_queries import LIKE_SQL
 
 
 def _paged_laws(spark, d):
@@ -27,7 +30,35 @@ def legal_protected(spark, d):
     return lines.select("doc_id", "line_no", "kept", "is_article", "article_seq", "section", (L.marked_line() == F.col("line")).alias("as_it_was"))
 
 
-_FUNCTIONS = (legal_protected,)
+def _marked_up(spark, d):
+    """Documents as recognised markdown, by line: headings, images, tables in HTML and drawn ones, header and footer blocks."""
+    line = lambda x, i: (
+        F.when(i % 11 == 0, F.concat(F.lit("## "), x))
+        .when(i % 11 == 2, F.concat(F.lit(" ![a  b](x ,y) "), x))
+        .when(i % 11 == 3, F.concat(x, F.lit("<table><tr>\n<td>a  ,b</td></TABLE> "), x))
+        .when(i % 11 == 5, F.concat(F.lit("**Encabezado:** uno  ,dos\n"), x, F.lit("\n")))
+        .when(i % 11 == 6, F.concat(F.lit("\n**Pie de página:** tres  ,x\n"), x, F.lit("\n")))
+        .when(i % 11 == 7, F.concat(F.lit("\n | "), F.left(F.translate(x, "|", ""), F.lit(30)), F.lit(" | b  ,c |\n|---|---|\n| uno | dos  ,tres |\n\n")))
+        .when(i % 11 == 8, F.concat(F.lit("  # "), x))
+        .when(i % 11 == 9, F.lit("###"))
+        .otherwise(x)
+    )
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+def routed_markdown(spark, d):
+    """CLN10, CLN11, CLN17: markdown repaired by the spacing rules only, each kind of line by its own way."""
+    found = M.repair_markdown(_marked_up(spark, d), off=["punctuation", "hyphenation", "pairs", "ocr"])
+    return found.select("doc_id", F.length("optimized").alias("n_chars"), F.md5("optimized").alias("digest"), "n_tables")
+
+
+def optimized_markdown(spark, d):
+    """CLN10, CLN11: the same documents by the whole profile."""
+    found = M.repair_markdown(_marked_up(spark, d))
+    return found.select("doc_id", F.length("optimized").alias("n_chars"), F.md5("optimized").alias("digest"), "n_tables")
+
+
+_FUNCTIONS = (legal_protected, routed_markdown, optimized_markdown)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 # ---- SQL ----
@@ -40,7 +71,25 @@ _LAWS = r"""laws AS (SELECT doc_id, array_to_string(list_transform(string_split(
 ), opened AS (SELECT *, starts_with(line, '**Encabezado:**') OR (starts_with(line, '**Pie de página:**') AND line_no >= 2 AND lag(line) OVER w = '') AS opens, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER w AS paragraph FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
 ), blocks AS (SELECT *, line <> '' AND bool_or(opens) OVER (PARTITION BY doc_id, paragraph ORDER BY line_no) AS kept FROM opened)"""
 
+_MARKED_UP = rf"""docs AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k: CASE (k - 1) % 11 WHEN 0 THEN '## ' || x WHEN 2 THEN ' ![a  b](x ,y) ' || x WHEN 3 THEN x || '<table><tr>' || chr(10) || '<td>a  ,b</td></TABLE> ' || x
+        WHEN 5 THEN '**Encabezado:** uno  ,dos' || chr(10) || x || chr(10) WHEN 6 THEN chr(10) || '**Pie de página:** tres  ,x' || chr(10) || x || chr(10)
+        WHEN 7 THEN chr(10) || ' | ' || left(replace(x, '|', ''), 30) || ' | b  ,c |' || chr(10) || '|---|---|' || chr(10) || '| uno | dos  ,tres |' || chr(10) || chr(10) WHEN 8 THEN '  # ' || x WHEN 9 THEN '###' ELSE x END), chr(10)) AS text FROM documents
+), split AS (SELECT doc_id, regexp_extract_all(text, '(?is)<table\b.*?</table>') AS html, string_split(regexp_replace(text, '(?is)<table\b.*?</table>', chr(65535), 'g'), chr(10)) AS parts FROM docs
+), l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM split
+), lines AS (SELECT *, {LIKE_SQL} AS liked FROM l
+), {table_sql.FOUND}, opened_ AS (SELECT doc_id, line_no, line, starts_with(line, '**Encabezado:**') OR (starts_with(line, '**Pie de página:**') AND line_no >= 2 AND lag(line) OVER w = '') AS opens, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER w AS paragraph FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+), blocks AS (SELECT *, line <> '' AND bool_or(opens) OVER (PARTITION BY doc_id, paragraph ORDER BY line_no) AS kept FROM opened_)"""
+
+_TITLE = table_sql.spaced(r"regexp_extract(line, '^(#+)\s*([^\n]+)', 2)")
+
 ORACLE_SQL = {
+    "routed_markdown": rf"""WITH {_MARKED_UP}, cells AS (SELECT * REPLACE (list_transform(content, lambda r: list_transform(r, lambda c: {table_sql.spaced('c')})) AS content) FROM found
+    ), fixed AS (SELECT b.doc_id, b.line_no, c.start = b.line_no AS first, CASE WHEN c.start = b.line_no THEN {table_sql.markdown('content')} WHEN c.start IS NOT NULL THEN '' WHEN kept OR regexp_matches(line, '^\s*!\[') THEN line
+        WHEN regexp_matches(line, '^#+\s*[^\n]') AND NOT regexp_matches(line, '^#$') THEN regexp_extract(line, '^(#+)\s*([^\n]+)', 1) || ' ' || {_TITLE} WHEN regexp_matches(line, '^\s*#') THEN line ELSE {table_sql.spaced('line')} END AS line
+        FROM blocks b LEFT JOIN cells c ON c.doc_id = b.doc_id AND b.line_no BETWEEN c.start AND c."end"
+    ), joined AS (SELECT doc_id, string_split(string_agg(line, chr(10) ORDER BY line_no), chr(65535)) AS parts, count(CASE WHEN first THEN 1 END) AS n_tables FROM fixed GROUP BY doc_id
+    ), whole AS (SELECT doc_id, n_tables, array_to_string(list_transform(range(1, len(joined.parts) + 1), lambda k: joined.parts[k] || coalesce(html[k], '')), '') AS t FROM joined JOIN split USING (doc_id))
+    SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest, n_tables FROM whole""",
     "legal_protected": rf"""WITH {_LAWS}, a AS (SELECT *, NOT kept AND regexp_matches(line, '(?i)^[#*>\s]*(?:art[íi]culo|art\.)\s+\d+') AS is_article FROM blocks
     ), s AS (SELECT *, CAST(sum(is_article::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS article_seq FROM a)
     SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kept, is_article, article_seq, CASE WHEN article_seq = 0 THEN 'preamble' ELSE 'article' END AS section, true AS as_it_was FROM s""",

@@ -11,7 +11,7 @@ from pagemill.operators import legal as L
 from pagemill.operators import numeric as N
 from pagemill.operators import tables as T
 from pagemill.operators.quality import compare_quality, compare_tables
-from pagemill.plans import planning_queries, reports
+from pagemill.plans import planning_queries, reports, table_sql
 from pagemill.plans import views as V
 from pagemill.sources import ocr as S
 from pagemill.streaming import runs as streams
@@ -36,12 +36,6 @@ def optimized_text(spark, d):
     return done.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-def optimized_markdown(spark, d):
-    """CLN10, CLN11: the same line by line, protected parts apart."""
-    done = V.noisy(spark, d).select("doc_id", R.optimize_markdown(F.col("text"), off=["hyphenation", "pairs"]).alias("t"))
-    return done.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
-
-
 def repair_gain(spark, d):
     """JN6, QLT9: quality before and after repair, by language."""
     done = V.noisy(spark, d).withColumn("after", R.optimize_text(F.col("text")))
@@ -253,7 +247,7 @@ def streamed_uploads(spark, d):
     return streams.uploads(spark, d)
 
 
-_FUNCTIONS = (optimized_text, optimized_markdown, repair_gain, compare_versions, plain_texts, plain_previews, escaped_refs, dictionary_words, vocabulary_validity, correction_stats, table_lines, table_islands, found_tables, replaced_tables, table_cells, legal_structure, legal_articles, legal_counts, legal_amendments, legal_intros, legal_documents, assembled_documents, assembled_previews, annotated_images, data_uris, documents_as_json, otsu, histogram_variance, registry_status, temp_files, upload_hits, parts_of_originals, scored_stream, throughput, expired_files, streamed_uploads)
+_FUNCTIONS = (optimized_text, repair_gain, compare_versions, plain_texts, plain_previews, escaped_refs, dictionary_words, vocabulary_validity, correction_stats, table_lines, table_islands, found_tables, replaced_tables, table_cells, legal_structure, legal_articles, legal_counts, legal_amendments, legal_intros, legal_documents, assembled_documents, assembled_previews, annotated_images, data_uris, documents_as_json, otsu, histogram_variance, registry_status, temp_files, upload_hits, parts_of_originals, scored_stream, throughput, expired_files, streamed_uploads)
 QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
     "fixed_spacing": _text(R.fix_spacing),
     "fixed_punctuation": _text(R.fix_punctuation),
@@ -267,10 +261,10 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
 
 _NOISY = """noisy AS (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN replace(text, ' the ', ' rn ¦the  ') WHEN 1 THEN replace(text, 'in ', 'in-' || chr(10)) WHEN 2 THEN replace(text, ', ', ' ,')
     ELSE text || ' l0O5 -- 1/2 <= '''' `` ARTICULO 2do' END AS text FROM documents)"""
-_LIKE = r"""len(regexp_extract_all(line, '[|│┃┆┇┊┋─━═_┌┐└┘╔╗╚╝╭╮╰╯├┤┬┴┼╠╣╦╩╬-]')) >= 2 AND (len(regexp_extract_all(line, '[|│┃┆┇┊┋]')) > 0
+LIKE_SQL = r"""len(regexp_extract_all(line, '[|│┃┆┇┊┋─━═_┌┐└┘╔╗╚╝╭╮╰╯├┤┬┴┼╠╣╦╩╬-]')) >= 2 AND (len(regexp_extract_all(line, '[|│┃┆┇┊┋]')) > 0
     OR (len(regexp_extract_all(line, '[─━═_-]')) > 0 AND len(regexp_extract_all(line, '[|│┃┆┇┊┋─━═_┌┐└┘╔╗╚╝╭╮╰╯├┤┬┴┼╠╣╦╩╬-]')) >= 5))"""
 _LINES = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
-), lines AS (SELECT *, {_LIKE} AS liked FROM l)"""
+), lines AS (SELECT *, {LIKE_SQL} AS liked FROM l)"""
 _LEGAL = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
 ), lines AS (SELECT doc_id, line_no, CASE line_no % 7 WHEN 0 THEN 'Artículo ' || (line_no // 7 + 1) || '.- ' || line WHEN 2 THEN 'II. ' || line WHEN 3 THEN 'a) ' || line WHEN 5 THEN 'Párrafo adicionado DOF 01-02-2020' ELSE line END AS line,
     line_no % 7 = 0 AS is_article, line_no % 7 = 2 AS is_fraction, line_no % 7 = 3 AS is_sub, line_no % 7 = 5 AS is_amendment FROM l)"""
@@ -316,5 +310,12 @@ ORACLE_SQL = {
     "parts_of_originals": f"WITH {V.RUNS_SQL}, {V.FILES_SQL} SELECT batch_id, count(*) AS n_parts, CAST(sum(pages) AS BIGINT) AS pages FROM runs JOIN files ON file_id = CAST(substr(original_file, 2) AS BIGINT) GROUP BY batch_id",
     "throughput": f"""WITH {V.RUNS_SQL} SELECT date_trunc('day', ts) AS start, CASE WHEN size_mb < 10 THEN 'small' WHEN size_mb < 30 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n_runs, count(*) FILTER (error IS NOT NULL) AS n_failed, CAST(sum(pages) AS BIGINT) AS pages, round(sum(pages) / sum(total_s), 6) AS pages_per_s FROM runs GROUP BY 1, 2""",
 }
+_TEXT_LINES = f"{_LINES.replace('lines AS (SELECT *', 'lines AS (SELECT doc_id, line_no, line')} , {table_sql.FOUND}"
+ORACLE_SQL["found_tables"] = f"""WITH {_TEXT_LINES} SELECT doc_id, "table", CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST(rows AS INTEGER) AS rows, CAST(cols AS INTEGER) AS cols, separator, round(confidence, 6) AS confidence, md5({table_sql.markdown('content')}) AS digest FROM found"""
+ORACLE_SQL["replaced_tables"] = f"""WITH {_TEXT_LINES}, last AS (SELECT doc_id, max(line_no) AS last FROM lines GROUP BY doc_id), kept AS (SELECT lines.* FROM lines JOIN last USING (doc_id) WHERE line <> '' OR line_no < last)
+    SELECT k.doc_id, md5(string_agg(CASE WHEN f.start IS NULL THEN k.line WHEN f.start = k.line_no THEN {table_sql.markdown('content')} END, chr(10) ORDER BY line_no)) AS digest, CAST(count(CASE WHEN f.start = k.line_no THEN 1 END) AS INTEGER) AS n_tables
+    FROM kept k LEFT JOIN found f ON f.doc_id = k.doc_id AND k.line_no BETWEEN f.start AND f."end" GROUP BY k.doc_id"""
+ORACLE_SQL["table_cells"] = f"""WITH {_TEXT_LINES}, r AS (SELECT doc_id, "table", unnest(content) AS cells, generate_subscripts(content, 1) - 1 AS row FROM found)
+    SELECT doc_id, "table", CAST(row AS INTEGER) AS row, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS col, {table_sql.spaced('unnest(cells)')} AS cell FROM r"""
 ORACLE_SQL["streamed_uploads"] = ORACLE_SQL["upload_hits"]
 ORACLE_SQL["scored_stream"] = f"SELECT doc_id, total_words, score FROM ({planning_queries.ORACLE_SQL['quality_score']})"

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import blocks, legal
+from pagemill.functions import repair as R
+from pagemill.operators import blocks, legal, markdown
 from pagemill.operators.prefix import prefix_sums
 
 
@@ -48,3 +49,16 @@ def test_blocks_are_no_law(spark):
     assert (counts.articles, counts.fractions, counts.subsections) == (2, 1, 1)
     text = legal.rebuild_document(found.where("doc_id = 1")).first()["text"]
     assert "\n**Pie de página:** Artículo 9\nArtículo 10 del pie\n\n## Artículo 2" in text and "**Encabezado:** Ley\n---\na) letra\n\n#### a) otra" in text
+
+
+MARKDOWN = "# ARTICULO  uno\n  ![ARTICULO](x--y.png) 4O2\n<table><tr>\n<td>4O2</td></tr></table> 4O2\n4O2\n | a | 4O2 |\n| b | c |\n| l0 | e |\n\n  # ARTICULO\n##\n**Encabezado:** 4O2\n4O2\n\n4O2 a"
+
+
+def test_markdown_by_kinds_of_lines(spark):
+    docs = spark.createDataFrame([(1, MARKDOWN), (2, None), (3, ""), (4, "\n\n**Pie de página:** 4O2\n4O2\n\n4O2")], "doc_id int, text string")
+    found = {r.doc_id: (r.optimized, r.n_tables) for r in markdown.repair_markdown(docs).collect()}
+    assert found[1] == ("# ARTÍCULO uno\n  ![ARTICULO](x--y.png) 4O2\n<table><tr>\n<td>4O2</td></tr></table> 402\n402\n| a | 402 |\n| --- | --- |\n| b | c |\n| 10 | e |\n\n\n\n  # ARTICULO\n# #\n**Encabezado:** 4O2\n4O2\n\n402 a", 1)
+    assert found[2] == (None, 0) and found[3] == ("", 0) and found[4] == ("\n\n**Pie de página:** 4O2\n4O2\n\n402", 0)
+    by_column = {r.doc_id: r.t for r in docs.select("doc_id", R.optimize_markdown(F.col("text")).alias("t")).collect()}
+    without = {r.doc_id: r.optimized for r in markdown.repair_markdown(docs, detect=False).collect()}
+    assert by_column == without
