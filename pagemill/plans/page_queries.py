@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.operators import assembly as A
 from pagemill.operators import legal as L
 from pagemill.operators import markdown as M
+from pagemill.operators import pages as P
 from pagemill.plans import table_sql
 from pagemill.plans import views as V
 from pagemill.plans.text_queries import LIKE_SQL
+from pagemill.sources import ocr as S
+from pagemill.sources.files import read_files
+from pagemill.sources.shared import shared_folder
 
 
 def _paged_laws(spark, d):
@@ -58,7 +63,79 @@ def optimized_markdown(spark, d):
     return found.select("doc_id", F.length("optimized").alias("n_chars"), F.md5("optimized").alias("digest"), "n_tables")
 
 
-_FUNCTIONS = (legal_protected, routed_markdown, optimized_markdown)
+def injected_tables(spark, d):
+    """JN1: tables joined to the placeholders of pages by rank, in all four spellings; some pages have too few tables."""
+    pages = V.doc_pages(spark, d)
+    marked = F.concat(F.lit("[tbl-12.html](tbl-12.html) "), "markdown", F.lit(' tbl-3.html <a href="tbl-7.html">tbl-7.html</a> tbl-12.html [tbl-3.html] tbl-30.html'))
+    tables = pages.select("doc_id", "page_idx", F.explode(F.slice(F.array(*map(F.lit, (5, 8, 9))), F.lit(1), F.col("page_idx") % 4)).alias("table_pos"), "markdown")
+    tables = tables.select("doc_id", "page_idx", "table_pos", F.concat(F.lit("<table>tbl-7.html "), F.col("table_pos").cast("string"), F.left("markdown", F.lit(20)), F.lit("</table>")).alias("content"))
+    return P.inject_tables(pages.withColumn("markdown", marked), tables).select("doc_id", "page_idx", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
+
+
+def embedded_images(spark, d):
+    """JN2, IMG3: images joined to the references of pages by name, with captions; exact references go before others."""
+    pages = V.doc_pages(spark, d)
+    marked = F.concat(F.lit("![a](a) ![a](x/a.png) "), "markdown", F.lit(" ![b](other) ![c](c) ![d](d)"))
+    rows = F.array(*[F.struct(F.lit(k).alias("image_pos"), F.lit(c).alias("image_key")) for k, c in enumerate("abca")])
+    images = pages.where("page_idx % 3 <> 2").select("doc_id", "page_idx", "markdown", F.explode(rows).alias("x")).select("doc_id", "page_idx", "x.*", "markdown")
+    content = F.when(F.col("image_key") != "c", F.encode(F.concat(F.col("image_pos").cast("string"), F.col("markdown")), "UTF-8"))
+    caption = F.when(F.col("image_key") != "a", F.concat(F.lit("*figure*: $1 \\ "), F.col("image_key")))
+    images = images.select("doc_id", "page_idx", "image_pos", "image_key", content.alias("content"), F.lit("jpg").alias("extension"), caption.alias("caption"))
+    return P.embed_images(pages.withColumn("markdown", marked), images).select("doc_id", "page_idx", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("digest"))
+
+
+def _captions(pages):
+    """None to three captions a page, an empty one among them, as rows in an order of their own."""
+    rows = F.slice(F.array(*[F.struct(F.lit(k).alias("image_pos"), F.lit(c).alias("c")) for k, c in ((1, "eins"), (2, ""), (4, "vier"))]), F.lit(1), F.col("page_idx") % 4)
+    return P.page_captions(pages.select("doc_id", "page_idx", F.explode(rows).alias("x")).select("doc_id", "page_idx", "x.*"), F.col("c"))
+
+
+def captioned_pages(spark, d):
+    """JN3: the k-th caption of a page below its k-th image."""
+    pages = V.doc_pages(spark, d).withColumn("markdown", F.concat(F.lit("![a](a)"), F.replace("markdown", F.lit("!["), F.lit("")), F.lit("![b c](d e)\n![](f)![g](g)")))
+    found = pages.hint("merge").join(_captions(pages).hint("merge"), ["doc_id", "page_idx"], "left")
+    text = A.attach_captions_markdown(F.col("markdown"), F.coalesce("captions", F.array().cast("array<string>")))
+    return found.select("doc_id", "page_idx", F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
+
+
+def captioned_html(spark, d):
+    """JN4: captions in figures first, then around other images; and, as the original does it, from the first caption again."""
+    plain = F.translate("markdown", "<>", "")
+    pages = V.doc_pages(spark, d).withColumn("markdown", F.concat(F.lit("<figure id=1><img src=a> x</figure>"), plain, F.lit("<img src=b><p><figure>\n<img src=c></figure><img src=d>")))
+    found = pages.hint("merge").join(_captions(pages).hint("merge"), ["doc_id", "page_idx"], "left")
+    text = lambda parity: A.attach_captions_html(F.col("markdown"), F.coalesce("captions", F.array().cast("array<string>")), parity)
+    return found.select("doc_id", "page_idx", F.md5(text(False)).alias("digest"), F.md5(text(True)).alias("original"))
+
+
+def any_annotations(spark, d):
+    """ANN1 to ANN5: annotations in four schemas, and none, in one column of JSON; their kind, description and captions."""
+    pages = V.doc_pages(spark, d)
+    said = F.regexp_replace(F.left("markdown", F.lit(40)), r"[^a-zA-Z0-9 ]", "")
+    of = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    image = (
+        F.when(F.col("page_idx") % 5 == 0, of('{"id": "i-', F.col("page_idx").cast("string"), '", "annotation": {"image_type": "chart", "short_description": "', said, '", "summary": "long ', said, '", "scale": 12}}'))
+        .when(F.col("page_idx") % 5 == 1, of('{"annotation": {}, "bbox_annotation": {"tipo_imagen": "plano", "image_type": "no", "descripcion_breve": "', said, '"}}'))
+        .when(F.col("page_idx") % 5 == 2, of('{"id": "x", "annotation": null, "structured_annotation": "{\\"diagram_type\\": \\"', said, '\\", \\"main_elements\\": [1, \\"b\\"], \\"title\\": \\"t\\"}"}'))
+        .when(F.col("page_idx") % 5 == 3, of('{"annotation": {"other": {"deep": 1}}}'))
+        .otherwise(of("no json ", said))
+    )
+    found = P.annotations_of(pages.select("doc_id", "page_idx", (F.col("page_idx") + 7).alias("image_pos"), image.alias("image")))
+    return found.select("doc_id", "page_idx", "image_id", "kind", "description", "brief", "extras", "caption_markdown", "caption_html")
+
+
+def written_files(spark, d):
+    """SNK1, SNK2, SNK4 to SNK7: documents written as files of three formats, and their images, and read back."""
+    k, stem = F.col("doc_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    docs = V.table(spark, d, "documents")
+    report = F.when(k % 3 == 0, F.concat(F.lit("quality "), k.cast("string")))
+    whole = docs.select(S.output_name(stem, k, k + 9, k % 2 == 1).alias("name"), S.output_title(stem).alias("title"), S.markdown_file(F.col("text"), report).alias("markdown"), F.replace("text", F.lit("a"), F.lit("A")).alias("text"), F.col("text").alias("html"), F.lit(None).cast("string").alias("json"))
+    images = docs.where("doc_id % 7 = 0").select("doc_id", (k + 1).alias("page_num"), F.lit(0).alias("image_pos"), F.lit(None).cast("string").alias("image_base64"), F.lit(None).cast("string").alias("data_uri"), F.encode(F.concat(F.when(k % 2 == 0, "BM").otherwise("RIFF"), "text"), "UTF-8").alias("data"))
+    folder = shared_folder(spark, "files")
+    S.write_formats(whole, folder, ("md", "txt", "html"), images)
+    return read_files(spark, folder).select("name", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
+_FUNCTIONS = (written_files, legal_protected, routed_markdown, optimized_markdown, injected_tables, embedded_images, captioned_pages, captioned_html, any_annotations)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 # ---- SQL ----
@@ -93,4 +170,26 @@ ORACLE_SQL = {
     "legal_protected": rf"""WITH {_LAWS}, a AS (SELECT *, NOT kept AND regexp_matches(line, '(?i)^[#*>\s]*(?:art[íi]culo|art\.)\s+\d+') AS is_article FROM blocks
     ), s AS (SELECT *, CAST(sum(is_article::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS article_seq FROM a)
     SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, kept, is_article, article_seq, CASE WHEN article_seq = 0 THEN 'preamble' ELSE 'article' END AS section, true AS as_it_was FROM s""",
+    "injected_tables": rf"""WITH {V.PAGES_SQL}, m AS (SELECT doc_id, page_idx, markdown, page_idx % 4 AS n, '[tbl-12.html](tbl-12.html) ' || markdown || ' tbl-3.html <a href="tbl-7.html">tbl-7.html</a> tbl-12.html [tbl-3.html] tbl-30.html' AS t FROM doc_pages
+    ), w AS (SELECT *, list_transform([5, 8, 9], lambda p: chr(10) || chr(10) || '<div class="ocr-table">' || chr(10) || '<table>tbl-7.html ' || p || left(markdown, 20) || '</table>' || chr(10) || '</div>' || chr(10) || chr(10)) AS h FROM m
+    ), r AS (SELECT doc_id, page_idx, CASE WHEN n >= 3 THEN h[3] ELSE '[tbl-12.html](tbl-12.html)' END || ' ' || markdown || ' ' || CASE WHEN n >= 1 THEN h[1] ELSE 'tbl-3.html' END || ' ' || CASE WHEN n >= 2 THEN h[2] ELSE '<a href="tbl-7.html">tbl-7.html</a>' END || ' ' || CASE WHEN n >= 3 THEN h[3] ELSE 'tbl-12.html' END || ' ' || CASE WHEN n >= 1 THEN h[1] ELSE '[tbl-3.html]' END || ' tbl-30.html' AS t FROM w)
+    SELECT doc_id, page_idx, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM r""",
+    "embedded_images": rf"""WITH {V.PAGES_SQL}, r AS (SELECT doc_id, page_idx, CASE WHEN page_idx % 3 = 2 THEN '![a](a) ![a](x/a.png) ' || markdown || ' ![b](other) ![c](c) ![d](d)' ELSE
+        '![a](data:image/jpeg;base64,' || to_base64(encode('0' || markdown)) || ') ![a](x/a.png) ' || markdown || ' ![b](data:image/jpeg;base64,' || to_base64(encode('1' || markdown)) || ')' || chr(10) || chr(10) || '*figure*: $1 \ b ![c](c)' || chr(10) || chr(10) || '*figure*: $1 \ c ![d](d)' END AS t FROM doc_pages)
+    SELECT doc_id, page_idx, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM r""",
+    "captioned_pages": rf"""WITH {V.PAGES_SQL}, r AS (SELECT doc_id, page_idx, '![a](a)' || CASE WHEN page_idx % 4 >= 1 THEN chr(10) || chr(10) || 'eins' || chr(10) ELSE '' END || replace(markdown, '![', '') || '![b c](d e)' || chr(10) || '![](f)' || CASE WHEN page_idx % 4 >= 3 THEN chr(10) || chr(10) || 'vier' || chr(10) ELSE '' END || '![g](g)' AS t FROM doc_pages)
+    SELECT doc_id, page_idx, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM r""",
+    "captioned_html": rf"""WITH {V.PAGES_SQL}, p AS (SELECT doc_id, page_idx, translate(markdown, '<>', '') AS m, CASE WHEN page_idx % 4 >= 1 THEN 'eins' ELSE '' END AS c1, CASE WHEN page_idx % 4 >= 3 THEN 'vier' ELSE '' END AS c3 FROM doc_pages
+    ), r AS (SELECT *, '<figure id=1><img src=a> x' || c1 || '</figure>' || m || CASE WHEN c3 = '' THEN '<img src=b>' ELSE '<figure class="ocr-image"><img src=b>' || c3 || '</figure>' END || '<p><figure>' || chr(10) || '<img src=c></figure><img src=d>' AS t,
+        '<figure id=1>' || CASE WHEN c1 = '' THEN '<img src=a>' ELSE '<figure class="ocr-image"><img src=a>' || c1 || '</figure>' END || ' x' || c1 || '</figure>' || m || '<img src=b><p><figure>' || chr(10) || '<img src=c></figure>' || CASE WHEN c3 = '' THEN '<img src=d>' ELSE '<figure class="ocr-image"><img src=d>' || c3 || '</figure>' END AS o FROM p)
+    SELECT doc_id, page_idx, md5(t) AS digest, md5(o) AS original FROM r""",
+    "any_annotations": rf"""WITH {V.PAGES_SQL}, s AS (SELECT doc_id, page_idx, page_idx % 5 AS k, regexp_replace(left(markdown, 40), '[^a-zA-Z0-9 ]', '', 'g') AS said FROM doc_pages WHERE page_idx % 5 <> 4
+    ), f AS (SELECT doc_id, page_idx, CASE k WHEN 0 THEN 'i-' || page_idx WHEN 2 THEN 'x' ELSE 'img_' || (page_idx + 7) END AS image_id, CASE k WHEN 0 THEN 'chart' WHEN 1 THEN 'plano' WHEN 2 THEN coalesce(nullif(said, ''), 'Imagen') ELSE 'Imagen' END AS kind,
+        CASE k WHEN 0 THEN 'long ' || said WHEN 1 THEN said WHEN 2 THEN '[1,"b"]' ELSE '' END AS description, CASE k WHEN 0 THEN said WHEN 1 THEN said WHEN 2 THEN 't' ELSE '' END AS brief, CASE k WHEN 0 THEN 'Scale: 12' ELSE '' END AS extras FROM s)
+    SELECT *, CASE WHEN description = '' THEN '' ELSE '*[' || kind || ': ' || description || ']*' END AS caption_markdown, CASE WHEN description = '' THEN '' ELSE '<figcaption class="bbox-caption"><strong class="img-type">' || kind || '</strong>: <span class="img-desc">' || description || '</span>' || CASE WHEN extras <> '' THEN '<br><small class="img-extra">' || extras || '</small>' ELSE '' END || '</figcaption>' END AS caption_html FROM f""",
+    "written_files": r"""WITH n AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 1 THEN printf('doc_%d_pag%04d-%04d', doc_id, doc_id, doc_id + 9) ELSE 'doc_' || doc_id END AS name FROM documents
+    ), f AS (SELECT name || '.md' AS name, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || '<!-- quality ' || doc_id || ' -->' || chr(10) ELSE '' END AS t FROM n UNION ALL SELECT name || '.txt', replace(text, 'a', 'A') FROM n
+        UNION ALL SELECT name || '.html', '<!DOCTYPE html>' || chr(10) || '<html lang="es">' || chr(10) || '<head><meta charset="utf-8"><title>Doc ' || doc_id || '</title></head>' || chr(10) || '<body>' || chr(10) || '<script type="application/json" id="document">{"markdown":' || replace(CAST(to_json(text) AS VARCHAR), '</', '<\/') || '}</script>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) FROM n
+        UNION ALL SELECT doc_id || '/pagina' || (doc_id + 1) || '_img1.' || CASE WHEN doc_id % 2 = 0 THEN 'bmp' ELSE 'webp' END, CASE WHEN doc_id % 2 = 0 THEN 'BM' ELSE 'RIFF' END || text FROM documents WHERE doc_id % 7 = 0)
+    SELECT name, strlen(t) AS n_bytes, md5(t) AS digest FROM f""",
 }

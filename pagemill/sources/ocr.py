@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.plans.planning import PAGES_PER_MB, density
+from pagemill.sources.files import write_files
 
 ANNOTATION = "struct<image_type:string,short_description:string,summary:string,tipo_imagen:string,descripcion_breve:string,descripcion_detallada:string,diagram_type:string,chart_type:string,detailed_description:string,data_description:string,main_elements:string,title:string,scale:string,dimensions:string,technical_notes:string,trends_insights:string,x_axis_label:string,y_axis_label:string>"
 IMAGE = f"struct<id:string,image_id:string,image_base64:string,data_uri:string,data:binary,annotation:{ANNOTATION},annotations:array<{ANNOTATION}>>"
@@ -75,14 +76,33 @@ def output_title(stem: Column) -> Column:
     return F.initcap(F.replace(stem, F.lit("_"), F.lit(" ")))
 
 
+def markdown_file(markdown: Column, report: Column | None = None) -> Column:
+    """A document's markdown, with a quality report, where there is one, as a comment at the end."""
+    note = F.coalesce(F.concat(F.lit("\n\n<!-- "), report, F.lit(" -->\n")), F.lit("")) if report is not None else F.lit("")
+    return F.concat(F.coalesce(markdown, F.lit("")), note)
+
+
+def html_file(title: Column, body: Column) -> Column:
+    """A page that holds a document's markdown as JSON, to be rendered where it is shown; no tag in it can end the script."""
+    safe = F.replace(F.replace(F.replace(F.coalesce(title, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    data = F.replace(F.to_json(F.struct(F.coalesce(body, F.lit("")).alias("markdown"))), F.lit("</"), F.lit("<\\/"))
+    return F.concat(F.lit('<!DOCTYPE html>\n<html lang="es">\n<head><meta charset="utf-8"><title>'), safe, F.lit('</title></head>\n<body>\n<script type="application/json" id="document">'), data, F.lit("</script>\n</body>\n</html>\n"))
+
+
 def write_markdown(docs: DataFrame, path: str, report: str | None = None) -> None:
-    """Writes `doc_id, markdown` with a quality report, if a column is named, as a comment at the end."""
-    text = F.concat("markdown", F.lit("\n\n<!--\n"), F.col(report), F.lit("\n-->\n")) if report else F.col("markdown")
-    docs.select("doc_id", text.alias("markdown")).write.parquet(path)
+    """Writes `name, markdown` as name.md, with a quality report if its column is named."""
+    text = markdown_file(F.col("markdown"), F.col(report) if report else None)
+    write_files(docs.select(F.concat("name", F.lit(".md")).alias("name"), text.alias("content")), path)
 
 
 def write_texts(docs: DataFrame, path: str, column: str = "text") -> None:
-    docs.select("doc_id", F.col(column).alias("text")).write.parquet(path)
+    """Writes `name` and a text as name.txt."""
+    write_files(docs.select(F.concat("name", F.lit(".txt")).alias("name"), F.col(column).alias("content")), path)
+
+
+def write_html(docs: DataFrame, path: str) -> None:
+    """Writes `name, title, html` as name.html."""
+    write_files(docs.select(F.concat("name", F.lit(".html")).alias("name"), html_file(F.col("title"), F.col("html")).alias("content")), path)
 
 
 def write_json(responses: DataFrame, path: str) -> None:
@@ -94,27 +114,31 @@ def json_of(*columns: str) -> Column:
     return F.replace(F.to_json(F.struct(*columns)), F.lit("</"), F.lit("<\\/"))
 
 
-def write_images(images: DataFrame, path: str) -> None:
-    """Writes `name, content` of exploded images, named pagina{p}_img{i}.{ext}."""
+def image_files(images: DataFrame) -> DataFrame:
+    """`name, content` of exploded images with data: {doc_id}/pagina{p}_img{i}.{ext}."""
     from pagemill.operators.assembly import image_content
 
     content, extension = image_content()
-    name = F.format_string("pagina%d_img%d.%s", F.col("page_num"), F.col("image_pos") + 1, extension)
-    images.select("doc_id", name.alias("name"), content.alias("content")).where("content is not null").write.parquet(path)
-
-
-def write_formats(assembled: DataFrame, path: str, formats: tuple[str, ...] = ("md", "txt", "html", "json")) -> list[str]:
-    """Writes several columns of one table, each to its folder; the table is computed once."""
-    known = {"md": "markdown", "txt": "text", "html": "html", "json": "json"}
-    if set(formats) - set(known):
-        raise ValueError(f"no such format: {sorted(set(formats) - set(known))}")
-    held = assembled.persist()
-    try:
-        for f in formats:
-            held.select("doc_id", known[f]).write.parquet(f"{path}/{f}")
-    finally:
-        held.unpersist()
-    return [f"{path}/{f}" for f in formats]
+    name = F.format_string("%s/pagina%d_img%d.%s", F.col("doc_id").cast("string"), F.col("page_num"), F.col("image_pos") + 1, extension)
+    return images.select(name.alias("name"), content.alias("content")).where("content is not null")
+
+
+def write_images(images: DataFrame, path: str) -> None:
+    """Writes each of exploded images that has data as a file."""
+    write_files(image_files(images), path)
+
+
+def write_formats(assembled: DataFrame, path: str, formats: tuple[str, ...] = ("md", "txt", "html", "json"), images: DataFrame | None = None) -> None:
+    """Writes `name, title, markdown, text, html, json` in several formats, and exploded images, in one job.
+
+    A row becomes one file for each format, so the table is computed once without being kept.
+    """
+    made = {"md": markdown_file(F.col("markdown")), "txt": F.col("text"), "html": html_file(F.col("title"), F.col("html")), "json": F.col("json")}
+    if set(formats) - set(made):
+        raise ValueError(f"no such format: {sorted(set(formats) - set(made))}")
+    each = F.array(*[F.struct(F.concat("name", F.lit(f".{f}")).alias("name"), made[f].cast("string").cast("binary").alias("content")) for f in formats])
+    files = assembled.select(F.explode(each).alias("x")).select("x.*")
+    write_files(files if images is None else files.unionByName(image_files(images)), path)
 
 
 def schema(ddl: str = RESPONSE) -> T.StructType:

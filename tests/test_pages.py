@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import repair as R
-from pagemill.operators import blocks, legal, markdown
+from pagemill.operators import blocks, legal, markdown, pages
 from pagemill.operators.prefix import prefix_sums
+from pagemill.sources import files
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
@@ -62,3 +64,43 @@ def test_markdown_by_kinds_of_lines(spark):
     by_column = {r.doc_id: r.t for r in docs.select("doc_id", R.optimize_markdown(F.col("text")).alias("t")).collect()}
     without = {r.doc_id: r.optimized for r in markdown.repair_markdown(docs, detect=False).collect()}
     assert by_column == without
+
+
+def page(spark, text):
+    return spark.createDataFrame([("d", 0, text, 5), ("e", 1, None, 6)], "doc_id string, page_idx int, markdown string, rank int")
+
+
+def test_tables_go_to_placeholders_by_rank(spark):
+    tables = spark.createDataFrame([("d", 0, 9, "<b>tbl-1.html</b>"), ("d", 0, 2, "<a>"), ("x", 0, 0, "no")], "doc_id string, page_idx int, table_pos int, content string")
+    found = {r.doc_id: r for r in pages.inject_tables(page(spark, "tbl-10.html [tbl-2.html](tbl-2.html)x[tbl-10.html]tbl-300.html"), tables).collect()}
+    box = '\n\n<div class="ocr-table">\n{}\n</div>\n\n'
+    assert found["d"].markdown == box.format("<b>tbl-1.html</b>") + " " + box.format("<a>") + "x" + box.format("<b>tbl-1.html</b>") + "tbl-300.html"
+    assert found["e"].markdown is None and found["d"].rank == 5
+
+
+def test_images_by_name(spark):
+    images = spark.createDataFrame([("d", 0, 0, "a", b"\x01", "png", "c $1"), ("d", 0, 1, "b", None, None, "below"), ("d", 0, 2, "a", b"\x02", "png", None), ("d", 0, 3, None, b"\x02", "png", None)], "doc_id string, page_idx int, image_pos int, image_key string, content binary, extension string, caption string")
+    found = {r.doc_id: r for r in pages.embed_images(page(spark, "![a](x) ![b](y) ![c](z)"), images).collect()}
+    assert found["d"].markdown == "![a](data:image/png;base64,AQ==)\n\nc $1 ![b](y)\n\nbelow ![c](z)" and found["e"].markdown is None
+    exact = {r.doc_id: r for r in pages.embed_images(page(spark, "![a](x) ![a](a)"), images).collect()}
+    assert exact["d"].markdown == "![a](x) ![a](data:image/png;base64,AQ==)\n\nc $1"
+
+
+def test_annotations_of_any_schema(spark):
+    rows = ['{"annotation": "", "bbox_annotation": {"title": "t", "chart_type": "pie", "n": {"a": [1]}}}', '{"id": "i", "structured_annotation": "{\\"summary\\": \\"s\\"}"}', '{"annotation": []}', "[1]", "no", "", None, '{"annotation": "text"}']
+    images = spark.createDataFrame([("d", 0, k, t) for k, t in enumerate(rows)], "doc_id string, page_idx int, image_pos int, image string")
+    found = {r.image_pos: (r.image_id, r.kind, r.description) for r in pages.annotations_of(images).collect()}
+    assert found == {0: ("img_0", "pie", "t"), 1: ("i", "Imagen", "s")}
+
+
+def test_files_round_trip_and_failed_tasks_leave_nothing(spark, tmp_path):
+    rows = [(f"a/{k}.txt", "é" * k) for k in range(30)] + [("null", None)]
+    files.write_files(spark.createDataFrame(rows, "name string, content string").repartition(3), f"file://{tmp_path}/ok")
+    assert {(r.name, bytes(r.content)) for r in files.read_files(spark, f"{tmp_path}/ok").collect()} == {(n, t.encode()) for n, t in rows if t}
+    assert sum(len(names) for _, _, names in os.walk(tmp_path / "ok")) >= len(rows) + 1
+    for bad in ("../x", "/x", "", "a//b"):
+        with pytest.raises(Exception, match="relative file name"):
+            files.write_files(spark.createDataFrame([("fine", "1"), (bad, "2")], "name string, content string").coalesce(1), f"{tmp_path}/bad")
+    assert not [f for _, _, names in os.walk(tmp_path / "bad") for f in names]
+    files.write_files(spark.createDataFrame([], "name string, content string"), f"{tmp_path}/none")
+    assert os.listdir(tmp_path / "none") == ["_SUCCESS"]
