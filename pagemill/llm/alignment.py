@@ -4,9 +4,10 @@ Rows are shuffled by their full text, and each distinct text is encoded and alig
 both end cut the tokens into groups; tokens of one group are linked. Over the corpus each linked pair of ids is counted
 by documents, copies included, and each document gets the counts of its links back.
 
-Neither tokenizer merges across a single space between two characters that aren't white space: the byte-level BPE splits
-there before it merges, and no piece of the other holds a space after another character (that is checked). So a text is
-cut there into units, a worker remembers what it has met, and both tokens end at each cut, so that no group spans two.
+Neither tokenizer merges across a single space or line feed between two characters that aren't white space: the
+byte-level BPE splits there before it merges, and no piece of the other holds a space after another character, or a line
+feed (that is checked). So a text is cut there into units, a worker remembers what it has met, and both tokens end at each
+cut, so that no group spans two. New units are encoded in one go, joined, and aligned by arrays of their offsets.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ HEAD = 1 << 20  # pairs whose counts are sent to all tasks, 17 bytes each; other
 CACHED_UNITS = 300_000  # that a worker remembers; past it, it forgets all. Memory only
 LONGEST = 64  # characters of a unit that is remembered
 SHIFT = 20  # a pair is (A << SHIFT) | B
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"^ | $|\s | \s")  # a space here may be no cut
+TOGETHER = 2000  # units that are encoded in one go
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_ODD = re.compile(r"^\s|\s$|\s[ \n]|[ \n]\s")  # a space or line feed here may be no cut
 
 
 def byte_level_bytes() -> dict[str, int]:
@@ -49,8 +51,10 @@ def piece_bytes(piece: str) -> bytes:
 
 
 def cut(text: str) -> list[str]:
-    """The units of a text that isn't empty, each with the space before it (the first with the one that is put there)."""
-    return [" " + x for x in (_CUT.split(text) if _ODD.search(text) else text.split(" "))]
+    """The units of a text that isn't empty, each with the space or line feed before it (the first with the space that is put there)."""
+    if _ODD.search(text):
+        return _CUT.split(" " + text) if not text[0].isspace() else [" " + (parts := _CUT.split(text))[0], *parts[1:]]
+    return [w if w[0] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
 
 
 Group = tuple[list[int], list[int]]
@@ -67,10 +71,16 @@ class Aligner:
         self._a, self._b = Tokenizer.from_file(byte_level), SentencePieceProcessor(model_file=pieces)
         self._a.encode_special_tokens = True
         decode = byte_level_bytes()
-        self._a_bytes = {n: bytes(map(decode.__getitem__, t)) if all(c in decode for c in t) else t.encode() for t, n in self._a.get_vocab().items()}
+        vocabulary = self._a.get_vocab()
+        self._a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, n in vocabulary.items():
+            self._a_bytes[n] = bytes(map(decode.__getitem__, t)) if all(c in decode for c in t) else t.encode()
         named = [self._b.id_to_piece(n) for n in range(self._b.get_piece_size())]
         self._b_bytes = [piece_bytes(p) for p in named]
-        self._whole = any("▁" in p.lstrip("▁") for p in named)  # then texts can't be cut
+        self._whole = any("▁" in p.lstrip("▁") or "\n" in p for p in named)  # then texts can't be cut
+        self._lengths = [np.array([len(x) for x in part], np.int64) for part in (self._a_bytes, self._b_bytes)]
+        self._b_from = len(self._a_bytes)
+        self._said = np.array([*(f",{k}" for k in range(len(self._a_bytes))), *(f",{k}" for k in range(len(named))), *(f";{k}" for k in range(len(self._a_bytes))), *(f"|{k}" for k in range(len(named)))], object)
         self._limit = cached_units
         self._forget()
 
@@ -80,33 +90,75 @@ class Aligner:
         self._sums, self._starts = np.zeros((1 << 10, 5), np.int64), np.zeros((1 << 10) + 1, np.int64)
         self._pairs, self._times = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def groups(self, units: list[str]) -> list[list[Group] | None]:
-        """The groups of each unit; None where the bytes of one tokenizer's tokens aren't those of the unit."""
-        found: list[list[Group] | None] = []
-        for unit, a, b in zip(units, self._a.encode_batch(units, add_special_tokens=False), self._b.encode([u[1:] for u in units], num_threads=1), strict=True):
-            octets, a = unit.encode(), a.ids
-            a_parts, b_parts = [self._a_bytes[k] for k in a], [self._b_bytes[k] for k in b]
-            found.append(_grouped(a, a_parts, b, b_parts) if b"".join(a_parts) == octets == b"".join(b_parts) else None)
-        return found
+    def _encode_b(self, text: str) -> list[int]:
+        """B's tokens of a text that begins with a space, which it puts there itself, or with a line feed."""
+        return self._b.encode(text[1:], num_threads=1) if text[0] == " " else self._b.encode(text, num_threads=1)[1:]
+
+    def groups(self, unit: str) -> list[Group] | None:
+        """The groups of a unit; None where the bytes of one tokenizer's tokens aren't those of the unit."""
+        octets, a, b = unit.encode(), self._a.encode(unit, add_special_tokens=False).ids, self._encode_b(unit)
+        a_parts, b_parts = [self._a_bytes[k] for k in a], [self._b_bytes[k] for k in b]
+        return _grouped(a, a_parts, b, b_parts) if b"".join(a_parts) == octets == b"".join(b_parts) else None
+
+    def _put(self, units: list[str], names: list[str], sums: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        """Puts away what is known of units; a unit's pairs are as many as the last of its sums says."""
+        n, filled = len(self._names), int(self._starts[len(self._names)])
+        end = n + len(units)
+        if end >= len(self._sums):
+            self._sums, self._starts = np.resize(self._sums, (2 * end, 5)), np.resize(self._starts, 2 * end + 1)
+        if filled + len(pairs) > len(self._pairs):
+            size = 2 * (filled + len(pairs))
+            self._pairs, self._times = np.resize(self._pairs, size), np.resize(self._times, size)
+        self._pairs[filled : filled + len(pairs)], self._times[filled : filled + len(pairs)] = pairs, times
+        self._starts[n + 1 : end + 1] = filled + np.cumsum(sums[:, 5])
+        self._sums[n:end] = sums[:, :5]
+        self._names += names
+        self._known.update(zip(units, range(n, end), strict=True))
 
     def _learn(self, units: list[str]) -> None:
         """Puts away each unit's counts, group text and linked pairs."""
-        for at in range(0, len(units), 2000):
-            part = units[at : at + 2000]
-            for unit, groups in zip(part, self.groups(part), strict=True):
-                n = len(self._names)
+        plain = [u for u in units if len(u) <= LONGEST and len(u) > 1 and not u[1].isspace() and not u[-1].isspace()] if not self._whole else []
+        for at in range(0, len(plain), TOGETHER):
+            self._learn_joined(plain[at : at + TOGETHER])
+        for unit in units:
+            if unit not in self._known:
+                groups = self.groups(unit)
                 pairs = _linked(groups or [])
-                filled = int(self._starts[n])
-                if n + 1 >= len(self._sums):
-                    self._sums, self._starts = np.resize(self._sums, (2 * n, 5)), np.resize(self._starts, 2 * n + 1)
-                while filled + len(pairs) > len(self._pairs):
-                    self._pairs, self._times = np.resize(self._pairs, 2 * len(self._pairs)), np.resize(self._times, 2 * len(self._times))
-                self._pairs[filled : filled + len(pairs)] = list(pairs)
-                self._times[filled : filled + len(pairs)] = list(pairs.values())
-                self._starts[n + 1] = filled + len(pairs)
-                self._sums[n] = [groups is None, *([sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups)] if groups else [0] * 4)]
-                self._names.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups or []))
-                self._known[unit] = n
+                counts = [groups is None, *([sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups)] if groups else [0] * 4), len(pairs)]
+                name = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups or [])
+                self._put([unit], [name], np.array([counts]), np.array([*pairs], np.int64), np.array([*pairs.values()], np.int64))
+
+    def _learn_joined(self, units: list[str]) -> None:
+        """The same for units that are joined to one text, with one in front that B can begin with; nothing if a cut wasn't one."""
+        units = [" a", *units]
+        text = "".join(units)
+        a, b = np.array(self._a.encode(text, add_special_tokens=False).ids, np.int64), np.array(self._encode_b(text), np.int64)
+        if not b"".join([self._a_bytes[k] for k in a]) == text.encode() == b"".join([self._b_bytes[k] for k in b]):
+            return
+        a_end, b_end = np.cumsum(self._lengths[0][a]), np.cumsum(self._lengths[1][b])
+        ends = np.cumsum([len(u.encode()) for u in units])
+        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        last = np.searchsorted(cuts, ends)  # of each unit's groups
+        if not (cuts[np.minimum(last, len(cuts) - 1)] == ends).all():
+            return
+        of_a, of_b = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+        n_a, n_b = np.bincount(of_a, minlength=len(cuts)), np.bincount(of_b, minlength=len(cuts))
+        first = np.concatenate([[0], last[:-1] + 1])
+        links = n_a * n_b
+        sums = np.zeros((len(units), 6), np.int64)
+        for k, x in enumerate((n_a, n_b, np.ones(len(cuts), np.int64), links, links), 1):
+            sums[:, k] = np.add.reduceat(x, first)
+        times = n_b[of_a]  # how many pairs each A token is in
+        place = np.repeat((np.cumsum(n_b) - n_b)[of_a] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        pairs = np.repeat(a, times) << SHIFT | b[place]
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        side = np.concatenate([2 * of_a, 2 * of_b + 1])[order]
+        opens = np.concatenate([[True], side[1:] != side[:-1]])
+        said = self._said[np.concatenate([a, b + self._b_from])[order] + opens * (len(self._said) // 2)].tolist()
+        bounds = np.searchsorted(side, 2 * np.concatenate([first, [len(cuts)]])).tolist()
+        names = ["".join(said[x:y])[1:] for x, y in zip(bounds[1:-1], bounds[2:], strict=True)]
+        skipped = int(sums[0, 5])
+        self._put(units[1:], names, sums[1:], pairs[skipped:], np.ones(len(pairs) - skipped, np.int64))
 
     def measure(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(tokens of A, of B, groups, links) of each text, the digest of its groups, and its distinct pairs: bounds, pairs, how often."""
