@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import count_of, is_blank, tokens
+from pagemill.functions.text import WORD_CHAR, count_of
 
 # Words and letters that recognition errors leave, characters that prose hardly has, and the thresholds.
 SUSPICIOUS_WORDS = ["rn", "cl", "vv", "ii", "Il", "lI"]
@@ -18,10 +18,10 @@ EMPTY_ISSUE = "Texto vacío o inválido"
 METRICS = ["suspicious_patterns", "rare_chars_count", "rare_chars_ratio", "avg_word_length", "mixed_alphanum_words", "mixed_alphanum_ratio", "total_words", "total_chars", "score", "issues"]
 
 
-def suspicious_patterns(text: Column, words: Column) -> Column:
-    """How many suspicious words and letters a text has, given its tokens."""
-    whole = F.size(F.filter(words, lambda w: w.isin(SUSPICIOUS_WORDS)))
-    return sum((F.regexp_count(text, F.lit(p)) for p in SUSPICIOUS_INNER), whole).cast("long")
+def suspicious_patterns(text: Column) -> Column:
+    """How many suspicious words and letters a text has."""
+    whole = rf"(?<!{WORD_CHAR})(?:{'|'.join(SUSPICIOUS_WORDS)})(?!{WORD_CHAR})"
+    return sum((F.regexp_count(text, F.lit(p)) for p in SUSPICIOUS_INNER), F.regexp_count(text, F.lit(whole))).cast("long")
 
 
 def rare_chars(text: Column) -> Column:
@@ -29,16 +29,19 @@ def rare_chars(text: Column) -> Column:
     return count_of(text, RARE_CHARS).cast("long")
 
 
-def mixed_alphanum(words: Column) -> Column:
-    """How many tokens mix letters and digits, but for numbers with up to three letters behind."""
-    mixed = F.filter(words, lambda w: w.rlike(r"\p{L}") & w.rlike(r"\p{N}") & ~F.lower(w).rlike(PLAIN_MIXED))
-    return F.size(mixed).cast("long")
+def mixed_alphanum(text: Column) -> Column:
+    """How many tokens mix letters and digits, but for numbers with up to three letters behind. Only tokens with a digit are listed."""
+    numbered = F.regexp_extract_all(text, F.lit(rf"(?<!{WORD_CHAR})[\p{{L}}_]*+\p{{N}}{WORD_CHAR}*+"), F.lit(0))
+    return F.size(F.filter(numbered, lambda w: w.rlike(r"\p{L}") & ~F.lower(w).rlike(PLAIN_MIXED))).cast("long")
 
 
-def average_length(words: Column) -> Column:
-    """The mean length of tokens, 0 without any."""
-    total = F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.length(w))
-    return F.when(F.size(words) > 0, total.cast("double") / F.size(words)).otherwise(0.0)
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"{WORD_CHAR}++")).cast("long")
+
+
+def average_length(text: Column, words: Column) -> Column:
+    """The mean length of tokens, given their number; 0 without any."""
+    return F.when(words > 0, F.length(F.regexp_replace(text, rf"[^{WORD_CHAR[1:-1]}]++", "")).cast("double") / words).otherwise(0.0)
 
 
 def overall_score(suspicious: Column, rare_ratio: Column, mixed_ratio: Column, length: Column, words: Column) -> Column:
@@ -74,18 +77,18 @@ def found_issues(suspicious: Column, rare: Column, rare_ratio: Column, length: C
 
 def with_quality(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Adds the ten metrics of a text column, at full precision; a blank text, or one without words, has zeros and one issue."""
-    words = f"{prefix} words"
-    df = df.withColumn(words, tokens(F.coalesce(F.col(text), F.lit(""))))
-    empty = is_blank(F.col(text)) | (F.size(words) == 0)
     c = {m: f"{prefix}{m}" for m in METRICS}
+    words = F.coalesce(word_count(F.col(text)), F.lit(0).cast("long"))
+    df = df.withColumn(c["total_words"], words)
+    own = F.col(c["total_words"])
+    empty = own == 0
     count = lambda value: F.when(empty, F.lit(0).cast("long")).otherwise(value)
     df = df.withColumns(
         {
-            c["suspicious_patterns"]: count(suspicious_patterns(F.col(text), F.col(words))),
+            c["suspicious_patterns"]: count(suspicious_patterns(F.col(text))),
             c["rare_chars_count"]: count(rare_chars(F.col(text))),
-            c["avg_word_length"]: F.when(empty, 0.0).otherwise(average_length(F.col(words))),
-            c["mixed_alphanum_words"]: count(mixed_alphanum(F.col(words))),
-            c["total_words"]: count(F.size(words).cast("long")),
+            c["avg_word_length"]: F.when(empty, 0.0).otherwise(average_length(F.col(text), own)),
+            c["mixed_alphanum_words"]: count(mixed_alphanum(F.col(text))),
             c["total_chars"]: count(F.length(text).cast("long")),
         }
     )
@@ -95,7 +98,7 @@ def with_quality(df: DataFrame, text: str = "text", prefix: str = "") -> DataFra
     score = overall_score(v["suspicious_patterns"], v["rare_chars_ratio"], v["mixed_alphanum_ratio"], v["avg_word_length"], v["total_words"])
     issues = found_issues(v["suspicious_patterns"], v["rare_chars_count"], v["rare_chars_ratio"], v["avg_word_length"], v["mixed_alphanum_ratio"])
     nothing = v["total_words"] == 0
-    return df.withColumns({c["score"]: F.when(nothing, 0.0).otherwise(score), c["issues"]: F.when(nothing, F.array(F.lit(EMPTY_ISSUE))).otherwise(issues)}).drop(words)
+    return df.withColumns({c["score"]: F.when(nothing, 0.0).otherwise(score), c["issues"]: F.when(nothing, F.array(F.lit(EMPTY_ISSUE))).otherwise(issues)})
 
 
 def quality_delta(before: Column, after: Column) -> tuple[Column, Column, Column]:

@@ -24,7 +24,8 @@ def _word(w: str, tail: str = WORD_END) -> str:
 # The rules, in their order.
 SPACING = [(" +", " "), (" +([.,;:!?])", "$1"), (r"([.,;:!?])(?=[A-Za-z])", "$1 ")]
 PUNCTUATION = [("--+", "—")]
-HYPHENATION = [(rf"({WORD_CHAR}+)-\s*[\r\n]+\s*([a-záéíóúüñ])", "$1$2")]
+# A word is tried from its beginning, or from where the last match ended, and not from each of its letters.
+HYPHENATION = [(rf"(?:\G|(?<!{WORD_CHAR}))({WORD_CHAR}++)-\s*[\r\n]+\s*([a-záéíóúüñ])", "$1$2")]
 PAIRS = [
     ("\"([^\"']+)'", '"$1"'),
     ("'([^\"']+)\"", '"$1"'),

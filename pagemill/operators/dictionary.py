@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions.repair import OCR_RULES, load_rules
 from pagemill.functions.text import tokens
@@ -35,8 +38,8 @@ def is_valid_word(word: Column, dictionary: Iterable[str] = SPANISH) -> Column:
 
 def dictionary_lookup(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Adds `valid` to rows with a `word`. The dictionary may be of any size: each distinct word is looked up once."""
-    known = words.select(F.lower("word").alias("low")).distinct().join(dictionary.select(F.col("word").alias("low")).distinct(), "low")
-    found = words.withColumn("low", F.lower("word")).join(known.withColumn("known", F.lit(True)), "low", "left")
+    known = words.select(F.lower("word").alias("low")).distinct().hint("merge").join(dictionary.select(F.col("word").alias("low")).distinct().hint("merge"), "low")
+    found = words.withColumn("low", F.lower("word")).hint("merge").join(known.withColumn("known", F.lit(True)).hint("merge"), "low", "left")
     return found.select(*words.columns, (F.coalesce("known", F.lit(False)) & (F.length("word") >= 2)).alias("valid"))
 
 
@@ -44,7 +47,7 @@ def vocabulary_validity(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """`doc_id, n_words, n_valid, validity`: how many of a document's words a dictionary has. Words are counted before the join."""
     counts = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("doc_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     known = dictionary.select("word").distinct().withColumn("known", F.lit(1))
-    found = counts.join(known, "word", "left").withColumn("ok", F.col("known").isNotNull() & (F.length("word") >= 2))
+    found = counts.hint("merge").join(known.hint("merge"), "word", "left").withColumn("ok", F.col("known").isNotNull() & (F.length("word") >= 2))
     found = found.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("n_valid"))
     return found.withColumn("validity", F.col("n_valid") / F.col("n_words"))
 
@@ -52,33 +55,55 @@ def vocabulary_validity(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 _HITS = "array<struct<rule:int,original:string,corrected:string,position:int,applied:boolean>>"
 
 
+class _Gate:
+    """Rules compiled once for a task, and what a dictionary holds back."""
+
+    def __init__(self, rules: list[tuple[str, str]], words: Iterable[str]):
+        import regex
+
+        group = re.compile(r"\$(\d)")
+        self._rules = [(k, regex.compile(p), group.sub(r"\\g<\1>", r.replace("\\", "\\\\"))) for k, (p, r) in enumerate(rules)]
+        self._words = frozenset(words)
+
+    def __call__(self, text: str) -> tuple[str, list[dict]]:
+        hits: list[dict] = []
+        for number, pattern, template in self._rules:
+            parts, last = [], 0
+            for m in pattern.finditer(text):
+                old = m[0]
+                new = pattern.sub(template, old)
+                use = new != old and not (len(old) >= 2 and old.lower() in self._words)
+                hits.append({"rule": number, "original": old, "corrected": new, "position": m.start(), "applied": use})
+                parts += (text[last : m.start()], new if use else old)
+                last = m.end()
+            if parts:
+                text = "".join(parts) + text[last:]
+        return text, hits
+
+
 def gated_rules(df: DataFrame, text: str = "text", rules: Iterable = OCR_RULES, dictionary: Iterable[str] = SPANISH, name: str = "repaired", hits: str = "hits") -> DataFrame:
     """Adds the text after the rules that the dictionary lets pass, and the array of all hits.
 
     A hit is `rule, original, corrected, position, applied`. It is applied if the rule changes it by itself and it isn't
-    a word as it stands. Rule k sees what rule k - 1 left: the rules are an array that is folded over, and so are the
-    parts between a rule's hits with the hits behind them, so each is written in its place.
+    a word as it stands. Rule k sees what rule k - 1 left, and positions are in that text. A rule's hits are found in one
+    pass and its parts joined once, so work grows with the text and its hits. This is a small function over Arrow batches:
+    56 rules with arrays in lambdas take Spark's analyzer longer than their work takes. A null text stays null, without hits.
     """
-    words = list(dictionary)
-    listed = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(p).alias("pattern"), F.lit(r).alias("replacement")) for k, (p, r) in enumerate(load_rules(rules))])
-
-    def apply(state: Column, rule: Column) -> Column:
-        found = F.regexp_extract_all(state["text"], F.concat(F.lit("("), rule["pattern"], F.lit(")")), F.lit(1))
-        parts = F.zip_with(F.split(state["text"], rule["pattern"]), F.concat(found, F.array(F.lit(None).cast("string"))), lambda a, b: F.struct(a.alias("free"), b.alias("hit")))
-
-        def put(done: Column, part: Column) -> Column:
-            new = F.regexp_replace(part["hit"], rule["pattern"], rule["replacement"])
-            use = (new != part["hit"]) & ~is_valid_word(part["hit"], words)
-            hit = F.struct(rule["rule"].alias("rule"), part["hit"].alias("original"), new.alias("corrected"), (F.length(done["text"]) + F.length(part["free"])).cast("int").alias("position"), use.alias("applied"))
-            text = F.concat(done["text"], part["free"], F.coalesce(F.when(use, new), part["hit"], F.lit("")))
-            return F.struct(text.alias("text"), F.when(part["hit"].isNull(), done["hits"]).otherwise(F.concat(done["hits"], F.array(hit))).alias("hits"))
-
-        start = F.struct(F.lit("").alias("text"), state["hits"].alias("hits"))
-        return F.when(F.size(found) > 0, F.aggregate(parts, start, put)).otherwise(state)
-
-    start = F.struct(F.col(text).alias("text"), F.array().cast(_HITS).alias("hits"))
-    df = df.withColumn(name, F.aggregate(listed, start, apply))
-    return df.withColumn(hits, F.col(f"{name}.hits")).withColumn(name, F.col(f"{name}.text"))
+    rules, words = load_rules(rules), list(dictionary)
+    kept = [f for f in df.schema.fields if f.name not in (name, hits)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate = _Gate(rules, words)
+        kind = pa.list_(pa.struct([("rule", pa.int32()), ("original", pa.string()), ("corrected", pa.string()), ("position", pa.int32()), ("applied", pa.bool_())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                done = [(None, []) if t is None else gate(t) for t in part.column(text).to_pylist()]
+                columns = [*[part.column(f.name) for f in kept], pa.array([t for t, _ in done], pa.string()), pa.array([h for _, h in done], kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], name, hits])
+
+    added = T.StructType.fromDDL(f"`{name}` string, `{hits}` {_HITS}")
+    return df.mapInArrow(run, T.StructType([*kept, *added.fields]))
 
 
 def correction_hits(df: DataFrame, rules: Iterable = OCR_RULES, dictionary: Iterable[str] = SPANISH) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +82,35 @@ def temp_files_matching(registry: DataFrame, glob: str, file_type: str | None =
 
 
 def upload_cache_hits(uploads: DataFrame, ttl_s: int = 43_200) -> DataFrame:
-    """`content_hash, ts, hit`: an upload is a hit within `ttl_s` seconds of the last one of its hash that was none."""
-    held = uploads.groupBy("content_hash").agg(F.array_sort(F.collect_list(F.col("ts").cast("timestamp"))).alias("all"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<boolean>").alias("out"))
+    """`content_hash, ts, hit`: an upload is a hit within `ttl_s` seconds of the last one of its hash that was none.
 
-    def step(a: Column, ts: Column) -> Column:
-        hit = F.coalesce(F.unix_micros(ts) - F.unix_micros(a["last"]) < ttl_s * 1_000_000, F.lit(False))
-        return F.struct(F.when(hit, a["last"]).otherwise(ts).alias("last"), F.concat(a["out"], F.array(hit)).alias("out"))
+    The uploads of a hash pass one task in order, a batch at a time, and only the time of the last miss is held. From a
+    miss the next one is found by a search, so that hits in between cost nothing. Rows without a time are left out; a
+    null hash is a hash of its own.
+    """
 
-    hits = F.aggregate("all", start, step, lambda a: a["out"])
-    return held.select("content_hash", F.explode(F.arrays_zip(F.col("all").alias("ts"), hits.alias("hit"))).alias("x")).select("content_hash", "x.ts", "x.hit")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ttl, key, last = ttl_s * 1_000_000, "", None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ts = batch.column("ts").cast(pa.int64()).to_numpy()
+            codes = pc.dictionary_encode(batch.column("content_hash"), null_encoding="encode")
+            group = codes.indices.to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            hit = np.ones(batch.num_rows, bool)
+            for at, end in zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows], strict=True):
+                own = codes.dictionary[group[at]].as_py()
+                if at or own != key:
+                    key, last = own, None
+                place = at if last is None else at + int(np.searchsorted(ts[at:end], last + ttl))
+                while place < end:
+                    hit[place], last = False, int(ts[place])
+                    place += int(np.searchsorted(ts[place:end], last + ttl))
+            yield pa.RecordBatch.from_arrays([batch.column("content_hash"), batch.column("ts"), pa.array(hit)], names=["content_hash", "ts", "hit"])
+
+    dealt = uploads.select(F.col("content_hash").cast("string"), F.col("ts").cast("timestamp")).where("ts is not null")
+    return dealt.repartition("content_hash").sortWithinPartitions("content_hash", "ts").mapInArrow(run, "content_hash string, ts timestamp, hit boolean")
 
 
 def parts_to_original(parts: DataFrame, files: DataFrame) -> DataFrame:

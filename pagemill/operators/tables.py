@@ -96,7 +96,7 @@ def find_tables(lines: DataFrame, least: float = LEAST_CONFIDENCE, parity: bool
     found = islands(lines)
     opened = lambda df, start: df.select("doc_id", "island", "last_line", start.alias("start"), F.explode("lines").alias("l")).select("doc_id", "island", "last_line", "start", "l.line_no", "l.line").where("line_no >= start")
     whole = _parsed(opened(found, F.col("first_line")), least, parity)
-    failed = found.join(whole.select("doc_id", "island"), ["doc_id", "island"], "left_anti")
+    failed = found.hint("merge").join(whole.select("doc_id", "island").hint("merge"), ["doc_id", "island"], "left_anti")
     starts = F.transform(F.filter("lines", lambda x: x["like"] & (x["line_no"] > F.col("first_line")) & (F.col("last_line") - x["line_no"] >= 2)), lambda x: x["line_no"])
     later = _parsed(opened(failed.withColumn("from", F.explode(starts)), F.col("from")), least, parity)
     first = F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("start"))
@@ -117,7 +117,7 @@ def replace_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """`doc_id, text, n_tables`: the texts of a lines table with each found table rewritten as markdown."""
     spans = tables.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", to_markdown(F.col("content"), F.col("cols")).alias("markdown"))).alias("spans"))
     whole = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
-    joined = whole.join(spans, "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
+    joined = whole.hint("merge").join(spans.hint("merge"), "doc_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
     def line(x: Column) -> Column:
         inside = F.get(F.filter("spans", lambda s: (s["start"] <= x["line_no"]) & (x["line_no"] <= s["end"])), F.lit(0))

@@ -26,19 +26,19 @@ def tokens_of_documents(spark, d):
 
 def quality_score(spark, d):
     """QLT2 to QLT8: the metrics of every document."""
-    found = with_quality(V.table(spark, d, "documents").select("doc_id", "text"))
+    found = with_quality(V.spread(V.table(spark, d, "documents").select("doc_id", "text")))
     return found.select("doc_id", "suspicious_patterns", "rare_chars_count", "mixed_alphanum_words", "total_words", "total_chars", F.size("issues").cast("long").alias("n_issues"), F.round("avg_word_length", 6).alias("avg_word_length"), F.round("score", 6).alias("score"))
 
 
 def quality_by_lang(spark, d):
     """QLT10: quality rolled up by language."""
-    found = quality_by(V.table(spark, d, "documents"), "lang")
+    found = quality_by(V.spread(V.table(spark, d, "documents").select("text", "lang")), "lang")
     return found.select("lang", "n_docs", "n_words", F.round("avg_score", 6).alias("avg_score"), F.round("min_score", 6).alias("min_score"), "n_with_issues", "n_low")
 
 
 def quality_vs_labels(spark, d):
     """JN6: scores joined with the labels that some documents have."""
-    found = with_quality(V.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "score")
+    found = with_quality(V.spread(V.table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "score")
     return found.join(V.table(spark, d, "labels").select("doc_id", "quality"), "doc_id").groupBy("quality").agg(F.count("*").alias("n_docs"), F.round(F.avg("score"), 6).alias("avg_score"))
 
 

@@ -238,12 +238,12 @@ def throughput(spark, d):
 
 
 def expired_files(spark, d):
-    """ST2: files of a stream of registrations whose time is past."""
+    """ST2: files of a stream of registrations whose time is past and wasn't renewed."""
     return streams.expired(spark, d)
 
 
 def streamed_uploads(spark, d):
-    """ST1: upload_hits as a stream with state."""
+    """ST1: upload_hits as a stream with state, in micro-batches of mixed order."""
     return streams.uploads(spark, d)
 
 
@@ -317,5 +317,8 @@ ORACLE_SQL["replaced_tables"] = f"""WITH {_TEXT_LINES}, last AS (SELECT doc_id,
     FROM kept k LEFT JOIN found f ON f.doc_id = k.doc_id AND k.line_no BETWEEN f.start AND f."end" GROUP BY k.doc_id"""
 ORACLE_SQL["table_cells"] = f"""WITH {_TEXT_LINES}, r AS (SELECT doc_id, "table", unnest(content) AS cells, generate_subscripts(content, 1) - 1 AS row FROM found)
     SELECT doc_id, "table", CAST(row AS INTEGER) AS row, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS col, {table_sql.spaced('unnest(cells)')} AS cell FROM r"""
+ORACLE_SQL["expired_files"] = """WITH r AS (SELECT 'tmp/' || user_id || event_type AS path, event_type AS file_type, ts, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 86400 SECOND ELSE INTERVAL 7200 SECOND END AS due FROM events
+    ), n AS (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, due) AS next FROM r)
+    SELECT path, file_type, due AS expired_at FROM n WHERE next IS NULL OR next > due"""
 ORACLE_SQL["streamed_uploads"] = ORACLE_SQL["upload_hits"]
 ORACLE_SQL["scored_stream"] = f"SELECT doc_id, total_words, score FROM ({planning_queries.ORACLE_SQL['quality_score']})"

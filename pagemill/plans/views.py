@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for work that is heavy on the CPU: dealt out anew where their scan has fewer tasks than the cluster has cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of 1/100 MB a character and 12 characters a page."""
     d = table(spark, sf_dir, "documents")
@@ -44,7 +50,7 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 4
     text = F.when(k == 0, F.replace("text", F.lit(" the "), F.lit(" rn ¦the  "))).when(k == 1, F.replace("text", F.lit("in "), F.lit("in-\n"))).when(k == 2, F.replace("text", F.lit(", "), F.lit(" ,"))).otherwise(F.concat("text", F.lit(" l0O5 -- 1/2 <= '' `` ARTICULO 2do")))
-    return d.select("doc_id", "lang", text.alias("text"))
+    return spread(d).select("doc_id", "lang", text.alias("text"))
 
 
 def legal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.plans import views as V
+from pagemill.sources.shared import shared_folder
 from pagemill.streaming import streams
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _opened(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # as a pattern, the path may be one file or a folder of files
     return spark.readStream.schema(V.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
@@ -29,7 +21,7 @@ def _opened(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything a stream gives for what its sources hold now, written to the shared folder and read back."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -55,19 +47,52 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "bucket", "n_runs", "n_failed", "pages", F.round("pages_per_s", 6).alias("pages_per_s"))
 
 
-def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _opened(spark, sf_dir, "events")
-    r = e.select(F.concat(F.lit("tmp/"), F.col("event_id").cast("string")).alias("path"), F.col("event_type").alias("file_type"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 2 == 0, 3600).otherwise(7200).alias("cleanup_after"))
-    return run_to_end(streams.expire_registry(r))
-
-
-def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The store that state of any kind needs, and few of its partitions, while a stream runs."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        e = _opened(spark, sf_dir, "events").select(F.md5(F.concat_ws("|", F.col("user_id"), F.col("event_type"))).alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"))
-        found = run_to_end(streams.dedup_uploads(e, delay="60 days"))
+        yield
     finally:
         spark.conf.set(key, before)
-    return found.groupBy("content_hash").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_hits"))
+
+
+def in_batches(rows: DataFrame, batch: str, ts: str, drain: dict) -> DataFrame:
+    """A stream of a table, a micro-batch for each value of `batch` in order, and then one row whose time passes all others.
+
+    `drain` has that row's other values; its time is a year after the last. Without it the rows of the last `delay` would
+    wait for ever.
+    """
+    spark = rows.sparkSession
+    folder = shared_folder(spark, "batches")
+    numbers = [r[0] for r in rows.select(batch).distinct().orderBy(batch).collect()]
+    for n in numbers:
+        rows.where(F.col(batch) == n).drop(batch).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    kept = rows.drop(batch)
+    last = rows.agg((F.max(ts) + F.expr("interval 365 days")).alias(ts)).withColumns({k: F.lit(v) for k, v in drain.items()})
+    last.select(*[F.col(f.name).cast(f.dataType) for f in kept.schema]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _mixed(e: DataFrame) -> DataFrame:
+    """Events with a batch of ten days, from which some come one or two batches late."""
+    day = F.floor(F.unix_micros("ts") / (10 * 86_400_000_000))
+    return e.withColumn("batch", day + F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 3).otherwise(0))
+
+
+def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    r = _mixed(e).select("batch", F.concat(F.lit("tmp/"), F.col("user_id").cast("string"), F.col("event_type")).alias("path"), F.col("event_type").alias("file_type"), "ts", F.when(F.col("event_id") % 2 == 0, 86_400).otherwise(7200).alias("cleanup_after"))
+    with state_store(spark):
+        found = run_to_end(streams.expire_registry(in_batches(r, "batch", "ts", {"path": "drain", "file_type": "", "cleanup_after": 0}), delay="40 days"))
+    return found.where("path <> 'drain'").select("path", "file_type", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    u = _mixed(e).select("batch", F.md5(F.concat_ws("|", F.col("user_id"), F.col("event_type"))).alias("content_hash"), "ts")
+    with state_store(spark):
+        found = run_to_end(streams.dedup_uploads(in_batches(u, "batch", "ts", {"content_hash": "drain"}), delay="40 days"))
+    return found.where("content_hash <> 'drain'").groupBy("content_hash").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_hits"))

@@ -26,54 +26,117 @@ def throughput_stream(runs: DataFrame, window: str = "1 hour", delay: str = "10
     return found.select(F.col("window.start").alias("start"), "bucket", "n_runs", "n_failed", "pages", rate("pages").alias("pages_per_s"), rate("mb").alias("mb_per_s"))
 
 
-class _Uploads(StatefulProcessor):
-    """The last upload of a hash; it is forgotten when its time is over."""
+class _InOrder(StatefulProcessor):
+    """Takes the rows of a key in the order of their time, whatever the order in which they come.
 
-    def __init__(self, ttl_s: int):
-        self._ttl_ms = ttl_s * 1000
+    Rows wait in list state until the watermark passes their time; then `step` sees them in order. One timer a key stands
+    at the earliest time at which something is due: a waiting row, or what `step` asks for.
+    """
+
+    WAITING, HELD = "micros long", "micros long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "micros long")
+        self._waiting = handle.getListState("waiting", self.WAITING)
+        self._held = handle.getValueState("held", self.HELD)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        taken = pd.concat(list(rows)).sort_values("ts")
-        last = self._last.get()[0] if self._last.exists() else None
-        hits = []
-        for t in taken["ts"]:
-            micros = t.value // 1000
-            hit = last is not None and micros - last < self._ttl_ms * 1000
-            hits.append(hit)
-            if not hit:
-                last = micros
-        self._last.update((last,))
+    def _arm(self, micros: list[int]) -> None:
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        self._handle.registerTimer(last // 1000 + self._ttl_ms)
-        yield pd.DataFrame({"content_hash": [key[0]] * len(hits), "ts": taken["ts"].to_numpy(), "hit": hits})
+        if micros:
+            self._handle.registerTimer(-(-min(micros) // 1000))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self._last.clear()
+    def taken(self, frame: pd.DataFrame) -> list[tuple]:
+        """The rows of a frame as they wait; the time in microseconds comes first."""
+        return [(t.value // 1000,) for t in frame["ts"]]
+
+    def step(self, key: tuple, held: tuple | None, rows: list[tuple], now: int) -> tuple[list[tuple], tuple | None, int | None]:
+        """(rows to emit, what is held from now on, when there is more to do) for rows in order, up to the time `now`."""
+        raise NotImplementedError
+
+    def frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [r for frame in rows for r in self.taken(frame)]
+        self._waiting.appendList(new)
+        times = [r[0] for r in new] + [t * 1000 for t in self._handle.listTimers()]
+        self._arm(times)
         yield from ()
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self._waiting.get()) if self._waiting.exists() else []
+        ready = [r for r in waiting if r[0] <= now]
+        rest = waiting[len(ready) :]
+        out, held, due = self.step(key, self._held.get() if self._held.exists() else None, ready, now)
+        self._waiting.put(rest) if rest else self._waiting.clear()
+        self._held.update(held) if held is not None else self._held.clear()
+        self._arm([*([rest[0][0]] if rest else []), *([due] if due is not None else [])])
+        if out:
+            yield self.frame(key, out)
+
     def close(self) -> None:
         pass
 
 
+class _Uploads(_InOrder):
+    """Holds the last upload that was no hit until its time is over."""
+
+    def __init__(self, ttl_s: int):
+        self._ttl = ttl_s * 1_000_000
+
+    def step(self, key, held, rows, now):
+        last, out = held[0] if held else None, []
+        for (micros,) in rows:
+            hit = last is not None and micros - last < self._ttl
+            out.append((micros, hit))
+            last = last if hit else micros
+        over = last is None or last + self._ttl <= now
+        return out, None if over else (last,), None if over else last + self._ttl
+
+    def frame(self, key, out):
+        return pd.DataFrame({"content_hash": [key[0]] * len(out), "ts": pd.to_datetime([m for m, _ in out], unit="us"), "hit": [h for _, h in out]})
+
+
 def dedup_uploads(uploads: DataFrame, ttl_s: int = 43_200, delay: str = "1 hour") -> DataFrame:
     """`content_hash, ts, hit` of a stream of uploads, by the exact rule: within ttl_s of the last upload that was no hit.
 
-    State is one number a hash that was uploaded within ttl_s of event time. Needs the RocksDB state store.
+    Rows may come in any order within `delay`; each is emitted when the watermark has passed its time. State is the rows
+    that wait and one number a hash that was uploaded within ttl_s. Needs the RocksDB state store.
     """
     return uploads.select("content_hash", "ts").withWatermark("ts", delay).groupBy("content_hash").transformWithStateInPandas(_Uploads(ttl_s), "content_hash string, ts timestamp, hit boolean", "Append", "EventTime")
 
 
+class _Registry(_InOrder):
+    """Holds the last registration of a path until its time is over; a registration in time renews it."""
+
+    WAITING, HELD = "micros long, after long, file_type string", "due long, file_type string"
+
+    def taken(self, frame):
+        return [(t.value // 1000, int(a), k) for t, a, k in zip(frame["ts"], frame["cleanup_after"], frame["file_type"], strict=True)]
+
+    def step(self, key, held, rows, now):
+        held, out = tuple(held) if held else None, []
+        for micros, after, kind in rows:
+            if held and held[0] < micros:
+                out.append(held)
+            held = (micros + after * 1_000_000, kind)
+        if held and held[0] <= now:
+            out.append(held)
+            held = None
+        return out, held, held[0] if held else None
+
+    def frame(self, key, out):
+        return pd.DataFrame({"path": [key[0]] * len(out), "file_type": [k for _, k in out], "expired_at": pd.to_datetime([d for d, _ in out], unit="us")})
+
+
 def expire_registry(registry: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """`path, file_type, expired_at` of a stream of registrations `path, file_type, ts, cleanup_after`, once the time is past.
+    """`path, file_type, expired_at` of a stream of registrations `path, file_type, ts, cleanup_after` (seconds), once the time is past.
 
-    A tumbling window of a second, at the end of a row's time, closes when the watermark passes it; a sweep is then a
-    trigger of any interval.
+    A registration of a path that comes up to the end of the last one's time takes its place, so that one never expires;
+    a later one begins anew. Rows may come in any order within `delay`. Of registrations at one time the one of longer
+    time counts. State is the rows that wait and one row a path that is registered. Needs the RocksDB state store.
     """
-    due = registry.withColumn("due", F.timestamp_micros(F.unix_micros("ts") + F.col("cleanup_after").cast("long") * 1_000_000))
-    found = due.withWatermark("due", delay).groupBy(F.window("due", "1 second").alias("w"), "path", "file_type").agg(F.max("due").alias("expired_at"))
-    return found.select("path", "file_type", "expired_at")
+    kept = registry.select("path", F.col("file_type").cast("string"), "ts", F.col("cleanup_after").cast("long")).where("path is not null and cleanup_after is not null")
+    return kept.withWatermark("ts", delay).groupBy("path").transformWithStateInPandas(_Registry(), "path string, file_type string, expired_at timestamp", "Append", "EventTime")

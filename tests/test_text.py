@@ -141,3 +141,18 @@ def test_rules_in_another_engine(spark):
 def test_tables_in_capitals_are_kept(spark):
     text = "uno ,dos\n<TABLE a='1'>\nrn ,x</Table> rn\n<tablero ,x"
     assert one(spark, text, R.optimize_markdown) == "uno, dos\n<TABLE a='1'>\nrn ,x</Table> m\n<tablero, x"
+
+
+def test_long_words_and_many_hits_end(spark):
+    word = "ab" * 500_000
+    assert one(spark, f"{word} docu-\nmento a-\nb-\nc", R.fix_hyphenation) == f"{word} documento ab-\nc"
+    docs = spark.createDataFrame([(1, "x rn y 1/2 " * 50_000)], "doc_id int, text string")
+    row = D.gated_rules(docs, rules=[R.LETTER_PAIRS[0], ("1/2", "½")]).select(F.size("hits").alias("n"), F.element_at("hits", -1).alias("last"), F.md5("repaired").alias("t")).first()
+    assert row.n == 100_000 and row.last.position == 10 * 50_000 - 4
+    assert row.t == spark.createDataFrame([("x m y ½ " * 50_000,)], "t string").select(F.md5("t")).first()[0]
+
+
+def test_positions_are_in_what_the_rule_sees(spark):
+    row = D.gated_rules(spark.createDataFrame([("rn rn 1/2 rn",), (None,)], "text string"), rules=[R.LETTER_PAIRS[0], ("1/2", "½")]).collect()
+    assert [(h.rule, h.position) for h in row[0].hits] == [(0, 0), (0, 3), (0, 10), (1, 4)] and row[0].repaired == "m m ½ m"
+    assert row[1].repaired is None and row[1].hits == []
