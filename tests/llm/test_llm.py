@@ -117,6 +117,25 @@ def test_fingerprints_add_up(spark):
     assert r["both_v"] == r["turned_v"] == r["sum"] and r["rest"] == r["one_v"]
 
 
+def test_contamination_in_blocks_and_of_long_items(spark, monkeypatch):
+    from pagemill.llm import decontamination
+
+    rng = random.Random(9)
+    item = " ".join(f"w{rng.randrange(5000)}" for _ in range(4000))
+    words = item.split()
+    rows = [(k, " ".join(words[k * 37 : k * 37 + 13 + k % 5]) + " z " + prose(20)) for k in range(90)] + [(1000, prose(50)), (1001, "solo dos"), (1002, None)]
+    bench = spark.createDataFrame([("long", item), ("long", item), ("short", "solo dos"), ("null", None), (None, "uno dos tres"), ("empty", "?")], "item_id string, text string")
+    whole = find_contamination(frame(spark, rows), bench).orderBy("doc_id").collect()
+    assert all(r.hit_items == ["long"] and r.hit_spans[0].start == 0 and r.hit_spans[0].end == 13 + r.doc_id % 5 for r in whole if r.doc_id < 90)
+    assert [r.hit_items for r in whole if r.doc_id >= 1000] == [[], ["short"], []]
+    monkeypatch.setattr(decontamination, "PART_CHARS", 700)  # in this process: the parts are cut in tasks, so also by hand
+    parts = [b for b in decontamination._cut(iter([pa.RecordBatch.from_arrays([pa.array(["long"]), pa.array([item])], names=["item", "text"])]))][0]
+    assert parts.num_rows > 20 and max(map(len, parts.column("text").to_pylist())) < 800
+    have = lambda phrases: {tuple(p.split()) for t in phrases for p in [" ".join(t.split()[k : k + 13]) for k in range(len(t.split()) - 12)]}
+    assert have(parts.column("text").to_pylist()) == have([item])
+    assert find_contamination(frame(spark, rows), bench, block_chars=3000).orderBy("doc_id").collect() == whole
+
+
 def test_likeness_is_near_the_exact_overlap(spark):
     rng = random.Random(12)
     words = [f"w{k}" for k in range(3000)]
@@ -180,7 +199,7 @@ def test_decontamination(spark):
     found = {r["doc_id"]: r for r in with_verdict(find_contamination(docs, benchmark)).collect()}
     assert (found[0]["n_hit"], found[0]["hit_items"], found[0]["contaminated"]) == (30, ["7"], True)
     assert not found[1]["contaminated"] and found[2]["hit_items"] == ["8"] and found[3]["n_words"] == 0 and not found[5]["hit_items"]
-    assert not Phrases([]).items and find_contamination(docs, benchmark.limit(0)).count() == 6
+    assert not len(Phrases([]).words) and find_contamination(docs, benchmark.limit(0)).count() == 6
 
 
 def test_language_id(spark):
