@@ -6,10 +6,14 @@ numbers and underscore of any script, so that they don't depend on the Java vers
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import html
+from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from pagemill.functions.text import WORD_CHAR, WORD_END, WORD_START, replaced, split_lines, strip
 
@@ -164,34 +168,20 @@ def with_optimized_markdown(df: DataFrame, text: str = "text", name: str = "opti
 TAGS = [("</?[a-zA-Z][^>]*>", ""), ("<([^<>]{1,200})>", "$1")]
 LABELS = [("**Encabezado:**", "Encabezado:"), ("**Pie de página:**", "Pie de página:")]
 MARKUP = [(r"^#+\s*", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1")]
-# Named entities that are decoded. The ampersand's is last, so that nothing is decoded twice.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "iexcl": "¡", "iquest": "¿", "ordf": "ª", "ordm": "º", "deg": "°",
-    "sect": "§", "para": "¶", "middot": "·", "laquo": "«", "raquo": "»", "copy": "©", "reg": "®", "euro": "€", "ndash": "–", "mdash": "—",
-    "hellip": "…", "bull": "•", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "frac12": "½", "frac14": "¼", "frac34": "¾",
-    "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "uuml": "ü",
-    "Aacute": "Á", "Eacute": "É", "Iacute": "Í", "Oacute": "Ó", "Uacute": "Ú", "Ntilde": "Ñ", "Uuml": "Ü", "amp": "&",
-}
-
-
-def _decoded(text: Column, reference: str, number: Callable[[Column], Column]) -> Column:
-    """The text with numeric references as characters; those of no character stay, and so does the ampersand's."""
-    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(reference), F.lit(1))), lambda x: number(x).between(32, 0x10FFFF) & ~number(x).between(0xD800, 0xDFFF) & ~number(x).between(0x7F, 0x9F) & (number(x) != 38))
-    mark = reference[: reference.index("(")]
-    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(number(x)), 8, "0")), "UTF-32")
-    return F.aggregate(found, text, lambda t, x: F.replace(t, F.concat(F.lit(mark), x, F.lit(";")), char(x)))
-
-
-def unescape(text: Column) -> Column:
-    """Numeric references of printable characters and the entities of ENTITIES, which end in a semicolon, decoded once."""
-    known = _decoded(text, "&#([0-9]{1,7});", lambda x: x.cast("long"))
-    for mark in ("x", "X"):
-        known = _decoded(known, f"&#{mark}([0-9a-fA-F]{{1,6}});", lambda x: F.conv(x, 16, 10).cast("long"))
-    for name, char in ENTITIES.items():
-        known = F.replace(known, F.lit(f"&{name};"), F.lit(char))
-    for mark in ("&#38;", "&#x26;", "&#X26;"):
-        known = F.replace(known, F.lit(mark), F.lit("&"))
-    return F.when(text.contains("&"), known).otherwise(text)
+
+
+@pandas_udf(ArrayType(StringType()))
+def _unescaped(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: None if x is None else [None if y is None else html.unescape(y) for y in x])
+
+
+def unescape(lines: Column) -> Column:
+    """An array of lines with all named entities and numeric references of HTML decoded once.
+
+    Names without a semicolon count where HTML has them, by the longest that fits, which no replacement of fixed texts can
+    do; so this is an Arrow function. Only rows with an ampersand are handed to it.
+    """
+    return F.coalesce(_unescaped(F.when(F.exists(lines, lambda x: x.contains("&")), lines)), lines)
 
 
 def plain_text(markdown: Column) -> Column:
@@ -202,12 +192,12 @@ def plain_text(markdown: Column) -> Column:
     """
 
     def line(x: Column) -> Column:
-        x = replaced(unescape(x), TAGS)
+        x = replaced(x, TAGS)
         for label, plain in LABELS:
             x = F.replace(x, F.lit(label), F.lit(plain))
         return F.when(~strip(x).startswith("!["), replaced(x, MARKUP))
 
-    return F.array_join(F.filter(F.transform(split_lines(markdown), line), lambda x: x.rlike(r"(?U)\S")), "\n")
+    return F.array_join(F.filter(F.transform(unescape(split_lines(markdown)), line), lambda x: x.rlike(r"(?U)\S")), "\n")
 
 
 def plain_preview(markdown: Column) -> Column:

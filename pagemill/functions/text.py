@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: A word character: letters and numbers of any script, and the underscore, but no combining marks.
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -31,6 +35,16 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
+@pandas_udf(StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def composed(text: Column) -> Column:
+    """The text in composed form (NFC). Only texts with a character from U+0300 on can change, and only these go to Python."""
+    return F.coalesce(_nfc(F.when(text.rlike("[^\\x{0}-\\x{2ff}]"), text)), text)
+
+
 def split_lines(text: Column) -> Column:
     """The lines of a text by any line end; an end at the very end starts no further line."""
     lines = F.split(text, LINE_END)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import WORD_CHAR, strip
+from pagemill.functions.text import WORD_CHAR, composed, strip
 from pagemill.operators.blocks import with_blocks
 
 # Heads of articles, fractions and subsections, and notes of amendments.
@@ -74,8 +74,8 @@ ABBREVIATIONS = ["Art", "Lic", "Inc", "Fracc", "Núm", "No", "C.P", "Sr", "Sra",
 
 
 def normalize_legal(text: Column) -> Column:
-    """Line feeds unified, lines of page numbers emptied, runs of blanks squeezed. Texts are taken to be in composed form."""
-    text = F.regexp_replace(F.regexp_replace(text, "\r\n|\r", "\n"), PAGE_LINE, "")
+    """Composed form, line feeds unified, lines of page numbers emptied, runs of blanks squeezed."""
+    text = F.regexp_replace(F.regexp_replace(composed(text), "\r\n|\r", "\n"), PAGE_LINE, "")
     return F.regexp_replace(text, r"[ \t]+", " ")
 
 

@@ -208,9 +208,9 @@ def registry_status(spark, d):
 def temp_files(spark, d):
     """JN7, JN8: files of some originals past their time, and files by pattern."""
     r = _registry(spark, d)
-    wanted = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("original")).where("original < 5")
+    wanted = V.table(spark, d, "region").select(F.col("r_regionkey").alias("original"))
     a = N.temp_files_for(r, wanted, _now()).select(F.lit("for").alias("how"), "file_type")
-    b = N.temp_files_matching(r, "*_1?.pdf").select(F.lit("matching").alias("how"), "file_type")
+    b = N.temp_files_matching(r, "*c*_*?1.pdf").select(F.lit("matching").alias("how"), "file_type")
     return a.unionByName(b).groupBy("how", "file_type").agg(F.count("*").alias("n"))
 
 
@@ -303,7 +303,7 @@ ORACLE_SQL = {
     ), v AS (SELECT *, CASE WHEN w > 0 AND total - w > 0 THEN w * (total - w) * pow(m / w - (moment - m) / (total - w), 2) ELSE -1 END AS between FROM w)
     SELECT event_type, CAST(bin AS INTEGER) AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY between DESC, bin) = 1""".replace("AS between", "AS apart").replace("BY between", "BY apart"),
     "registry_status": "SELECT event_type AS file_type, count(*) AS n_files, count(*) FILTER (epoch(TIMESTAMP '2024-02-15 00:00:00') - floor(epoch(ts)) > CASE WHEN event_id % 2 = 0 THEN 3600 ELSE 7200 END) AS n_ready FROM events GROUP BY 1",
-    "temp_files": "SELECT 'for' AS how, event_type AS file_type, count(*) AS n FROM events WHERE user_id % 20 < 5 AND epoch(TIMESTAMP '2024-02-15 00:00:00') - floor(epoch(ts)) > CASE WHEN event_id % 2 = 0 THEN 3600 ELSE 7200 END GROUP BY 2 UNION ALL SELECT 'matching', event_type, count(*) FROM events WHERE event_id BETWEEN 10 AND 19 GROUP BY 2",
+    "temp_files": "SELECT 'for' AS how, event_type AS file_type, count(*) AS n FROM events WHERE user_id % 20 IN (SELECT r_regionkey FROM region) AND epoch(TIMESTAMP '2024-02-15 00:00:00') - floor(epoch(ts)) > CASE WHEN event_id % 2 = 0 THEN 3600 ELSE 7200 END GROUP BY 2 UNION ALL SELECT 'matching', event_type, count(*) FROM events WHERE event_type LIKE '%c%' AND event_id % 10 = 1 AND event_id > 9 GROUP BY 2",
     "upload_hits": """WITH RECURSIVE e AS (SELECT md5(concat_ws('|', user_id, event_type)) AS content_hash, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM events
     ), f AS (SELECT content_hash, k, ts AS last, 0 AS hit FROM e WHERE k = 1 UNION ALL SELECT e.content_hash, e.k, CASE WHEN e.ts - f.last < INTERVAL 12 HOUR THEN f.last ELSE e.ts END, CASE WHEN e.ts - f.last < INTERVAL 12 HOUR THEN 1 ELSE 0 END FROM f JOIN e ON e.content_hash = f.content_hash AND e.k = f.k + 1)
     SELECT content_hash, count(*) AS n, CAST(sum(hit) AS BIGINT) AS n_hits FROM f GROUP BY content_hash""",

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import html
+import html.entities
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import repair as R
 from pagemill.functions.quality import with_quality
+from pagemill.functions.text import composed
 from pagemill.operators import assembly as A
 from pagemill.operators import dictionary as D
 from pagemill.operators import legal as L
@@ -55,7 +59,7 @@ def test_plain_text_and_case_references(spark):
     assert one(spark, "# Uno\n\n![i](i)\n**dos** [tres](u) &lt;x&gt;", R.plain_text) == "Uno\ndos tres "
     assert one(spark, "**Encabezado:** *uno*\r\n  **Pie de página:** dos ", R.plain_text) == "Encabezado: uno\n  Pie de página: dos "
     assert one(spark, "a &lt; 2 <10> &#233;&#xF1;&oacute; &amp;lt; &#38;gt; <b c='d'>e</b>", R.plain_text) == "a < 2 10 éñó &lt; &gt; e"
-    assert one(spark, "&#0;&#9999999; x", R.plain_text) == "&#0;&#9999999; x" and one(spark, None, R.plain_text) is None
+    assert one(spark, "&#0;&#9999999; x", R.plain_text) == "\ufffd\ufffd x" and one(spark, None, R.plain_text) is None
     assert one(spark, "ver <1a.j. 35/2019 (10a.)> y <b>", R.escape_case_refs) == "ver &lt;1a.j. 35/2019 (10a.)&gt; y <b>"
 
 
@@ -156,3 +160,18 @@ def test_positions_are_in_what_the_rule_sees(spark):
     row = D.gated_rules(spark.createDataFrame([("rn rn 1/2 rn",), (None,)], "text string"), rules=[R.LETTER_PAIRS[0], ("1/2", "½")]).collect()
     assert [(h.rule, h.position) for h in row[0].hits] == [(0, 0), (0, 3), (0, 10), (1, 4)] and row[0].repaired == "m m ½ m"
     assert row[1].repaired is None and row[1].hits == []
+
+
+def test_entities_as_python_decodes_them(spark):
+    rng = random.Random(6)
+    names = rng.sample(sorted(html.entities.html5), 300)
+    texts = [f"x &{n} y&{n};z &amp{n} &#{rng.randrange(1200)}; &#x{rng.randrange(70000):x} no" for n in names] + ["plain", "", "&", "&notit; &no"]
+    rows = spark.createDataFrame([*enumerate(texts)], "k int, text string").select("k", R.unescape(F.array("text"))[0].alias("t")).collect()
+    assert {r.k: r.t for r in rows} == {k: html.unescape(t) for k, t in enumerate(texts)}
+
+
+def test_decomposed_laws_are_composed(spark):
+    docs = spark.createDataFrame([(1, "Arti\u0301culo 1.- uno\r\nPa\u0301rrafo adicionado DOF 01-02-2020\n2 de 365"), (2, None)], "doc_id int, text string")
+    (row,) = L.structure_counts(L.with_structure(L.legal_lines(docs))).collect()
+    assert (row.articles, row.amendments) == (1, 1)
+    assert one(spark, "e\u0301 a", composed) == "\u00e9 a" and one(spark, "abc", composed) == "abc"
