@@ -220,7 +220,7 @@ QUERIES = {f.__name__: f for f in (quality_score, quality_by_lang, quality_vs_la
 # ---- SQL ----
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')"
-_QUALITY = rf"""w AS (
+QUALITY_SQL = rf"""w AS (
     SELECT doc_id, lang, text, {_WORDS} AS w FROM documents
 ), m AS (
     SELECT *, len(w) AS total_words, length(text) AS total_chars,
@@ -322,9 +322,9 @@ def _division(kind: str, n: str, where: str, order: int) -> str:
 
 ORACLE_SQL = {
     "tokens": rf"SELECT doc_id, len({_WORDS}) AS n_words, CAST(list_max(list_transform({_WORDS}, lambda x: length(x))) AS INTEGER) AS longest FROM documents",
-    "quality_score": f"WITH {_QUALITY} SELECT doc_id, suspicious_patterns, rare_chars_count, mixed_alphanum_words, total_words, total_chars, CAST(n_issues AS BIGINT) AS n_issues, round(coalesce(avg_word_length, 0), 6) AS avg_word_length, round(CAST(score AS DOUBLE), 6) AS score FROM q",
-    "quality_by_lang": f"WITH {_QUALITY} SELECT lang, count(*) AS n_docs, CAST(sum(total_words) AS BIGINT) AS n_words, round(avg(score), 6) AS avg_score, round(CAST(min(score) AS DOUBLE), 6) AS min_score, count(*) FILTER (troubled) AS n_with_issues, count(*) FILTER (score < 70) AS n_low FROM q GROUP BY lang",
-    "quality_vs_labels": f"WITH {_QUALITY} SELECT quality, count(*) AS n_docs, round(avg(score), 6) AS avg_score FROM q JOIN labels USING (doc_id) GROUP BY quality",
+    "quality_score": f"WITH {QUALITY_SQL} SELECT doc_id, suspicious_patterns, rare_chars_count, mixed_alphanum_words, total_words, total_chars, CAST(n_issues AS BIGINT) AS n_issues, round(coalesce(avg_word_length, 0), 6) AS avg_word_length, round(CAST(score AS DOUBLE), 6) AS score FROM q",
+    "quality_by_lang": f"WITH {QUALITY_SQL} SELECT lang, count(*) AS n_docs, CAST(sum(total_words) AS BIGINT) AS n_words, round(avg(score), 6) AS avg_score, round(CAST(min(score) AS DOUBLE), 6) AS min_score, count(*) FILTER (troubled) AS n_with_issues, count(*) FILTER (score < 70) AS n_low FROM q GROUP BY lang",
+    "quality_vs_labels": f"WITH {QUALITY_SQL} SELECT quality, count(*) AS n_docs, round(avg(score), 6) AS avg_score FROM q JOIN labels USING (doc_id) GROUP BY quality",
     "limit_checks": f"WITH {V.FILES_SQL} SELECT file_id, concat_ws(',', CASE WHEN size_mb > 96 THEN 'size' END, CASE WHEN total_pages > 900 THEN 'pages' END) AS exceeded, NOT (size_mb > 96 OR total_pages > 900) AS within, size_mb / total_pages AS density, CASE WHEN size_mb / total_pages > 1.0 THEN 'high' WHEN size_mb / total_pages < 0.1 THEN 'low' ELSE 'normal' END AS density_class FROM files",
     "split_needs": f"WITH {_needs(V.BIG_FILES_SQL)} SELECT file_id, density, requires_splitting, reason, min_files_by_size, min_files_by_pages, required_files FROM req",
     "split_plans": f"WITH {_needs(V.BIG_FILES_SQL)}, src AS (SELECT *, required_files AS n FROM req), {_plans('src')} SELECT file_id, {_COLUMNS}, warnings, mb_per_file <= 96 AND pages_per_file <= 900 AND score >= 0.8 AS is_optimal FROM plan",
