@@ -26,7 +26,7 @@ def _paged_laws(spark, d):
         .when(i % 9 == 6, F.concat(x, F.lit("\n**Pie de página:** dentro\n## Artículo 8 "), x))
         .otherwise(x)
     )
-    return V.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return V.spread(V.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
 
 
 def legal_protected(spark, d):
@@ -48,7 +48,7 @@ def _marked_up(spark, d):
         .when(i % 11 == 9, F.lit("###"))
         .otherwise(x)
     )
-    return V.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return V.spread(V.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
 
 
 def routed_markdown(spark, d):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.quality import with_quality
+from pagemill.operators.prefix import prefix_sums
 from pagemill.plans import planning as P
 from pagemill.plans import views as V
+from pagemill.plans.batches import batch_summary
 
 
 def plan_report(plan: Column) -> Column:
@@ -47,3 +49,47 @@ def plan_reports(spark, d):
 def quality_reports(spark, d):
     """RPT1: reports of quality."""
     return with_quality(V.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", quality_report().alias("report"))
+
+
+def estimation_report(name: Column, n: Column, limits: P.Limits = P.PRE_DIVISION) -> Column:
+    """What a division of a file of with_split_needs into n parts would give, as lines; a file has at most a few parts."""
+    plan, parts = P.pre_division(n, limits), P.estimated_parts(n, limits)
+
+    def part(x: Column) -> Column:
+        told = F.format_string("Archivo %d: ~%.1fMB (%d pág) %s\n  └─ %d-%d", x["part"] + 1, x["mb"], x["pages"], F.when(x["exceeds"], "❌ EXCEDE").otherwise("✅ OK"), x["first_page"], x["last_page"])
+        return F.when(x["exceeds"], F.concat(told, F.format_string("\n  └─ 💡 Recomendación: dividir en %d partes", x["resplit"]))).otherwise(told)
+
+    head = F.format_string(
+        "📊 REPORTE DE ESTIMACIÓN PRE-DIVISIÓN\n📄 Archivo: %s\n📏 Tamaño original: %.1f MB\n📑 Total páginas: %,d\n🔢 Archivos solicitados: %d\n💡 Archivos recomendados: %d\n⚡ Eficiencia de tamaño: %.0f%%\n\n📋 ESTIMACIONES POR ARCHIVO:",
+        name, F.col("size_mb"), F.col("total_pages"), n, F.col("required_files"), plan["efficiency"] * 100,
+    )
+    trouble = F.format_string("\n🚨 PROBLEMAS DETECTADOS:\n❌ %d archivos excederán el límite de 50MB\n💡 Se recomienda usar %d archivos en su lugar", plan["n_exceeding"], F.col("required_files"))
+    return F.array_join(F.array_compact(F.concat(F.array(head), F.transform(parts, part), F.array(F.when(~plan["all_within"], trouble)))), "\n")
+
+
+def batch_report(files: DataFrame, batch: str, order: str, limits: P.Limits = P.Limits()) -> DataFrame:
+    """`batch, line_no, line`: the report of each batch as rows, so that a batch may have any number of files.
+
+    Line 0 is the summary; a file has the line of its place, from 1. Page offsets are running sums by ranges.
+    """
+    planned = P.with_split_needs(files, limits).withColumn("plan", P.optimal_plan(limits))
+    placed = prefix_sums(planned, [batch], [F.col(order)], {"line_no": F.lit(1).cast("long"), "until": F.coalesce("total_pages", F.lit(0)).cast("long")})
+    first = F.col("until") - F.coalesce("total_pages", F.lit(0)) + 1
+    told = F.format_string("%d. %s\n   📊 Tamaño: %.1f MB\n   📄 Páginas: %d (desde página %d)\n   🎯 Densidad: %.2f MB/página", F.col("line_no"), F.col("file_id").cast("string"), F.col("size_mb"), F.col("total_pages"), first, F.col("density"))
+    cut = F.format_string("\n   📂 División: %d archivos\n   📑 Páginas por archivo: %d\n   💾 MB por archivo: %.1f\n   🏆 Eficiencia: %.0f%%", F.col("plan.num_files"), F.col("plan.pages_per_file"), F.col("plan.mb_per_file"), F.col("plan.score") * 100)
+    how = F.when(F.col("plan").isNull(), "").when(F.col("plan.num_files") == 1, "\n   ✅ No requiere división").otherwise(cut)
+    rows = placed.select(batch, "line_no", F.concat(told, how).alias("line"))
+    warned = F.when(F.size("warnings") > 0, F.concat(F.lit("\n⚠️ ADVERTENCIAS:\n  • "), F.array_join("warnings", "\n  • "))).otherwise("")
+    head = F.format_string("Archivos a procesar: %d\nTamaño total: %.1f MB\nPáginas totales: %d\nDensidad promedio: %.2f MB/página\nArchivos estimados tras división: %d\nTiempo estimado: %.1f minutos\nEstrategia global: %s", F.col("n_files"), F.col("size_mb"), F.col("total_pages"), F.col("avg_density"), F.col("n_parts"), F.col("minutes"), F.col("strategy"))
+    return batch_summary(files, batch, limits).select(batch, F.lit(0).cast("long").alias("line_no"), F.concat(head, warned).alias("line")).unionByName(rows)
+
+
+def batch_reports(spark, d):
+    """RPT1: reports of batches, a row a line."""
+    return batch_report(V.files(spark, d), "batch_id", "file_id")
+
+
+def estimation_reports(spark, d):
+    """RPT1: reports of estimated divisions."""
+    f = P.with_split_needs(V.big_files(spark, d), P.PRE_DIVISION)
+    return f.select("file_id", estimation_report(F.col("file_id").cast("string"), F.least(F.col("required_files"), F.lit(20))).alias("report"))

@@ -84,7 +84,7 @@ def correction_stats(spark, d):
 
 
 def _table_lines(spark, d):
-    return T.lines_of(V.table(spark, d, "documents").select("doc_id", "text"))
+    return T.lines_of(V.spread(V.table(spark, d, "documents").select("doc_id", "text")))
 
 
 def table_lines(spark, d):
@@ -255,6 +255,8 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS} | {
     "fixed_pairs": _text(R.fix_unbalanced_pairs),
     "plan_reports": reports.plan_reports,
     "quality_reports": reports.quality_reports,
+    "batch_reports": reports.batch_reports,
+    "estimation_reports": reports.estimation_reports,
 }
 
 # ---- SQL ----

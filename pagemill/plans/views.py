@@ -18,13 +18,13 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of 1/100 MB a character and 12 characters a page."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source"))
     return d.select(F.col("doc_id").alias("file_id"), (F.col("n_chars") / 100.0).alias("size_mb"), F.greatest(F.lit(1), F.floor(F.col("n_chars") / 12)).cast("int").alias("total_pages"), F.col("source").alias("batch_id"))
 
 
 def big_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as large files."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"))
     return o.select(F.col("o_orderkey").alias("file_id"), (F.col("o_totalprice") / 100.0).alias("size_mb"), (F.col("o_orderkey") % 3000 + 1).cast("int").alias("total_pages"), F.col("o_orderpriority").alias("batch_id"))
 
 
@@ -55,7 +55,7 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines with the marks of a law put in by line number."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     n = F.col("line_no") % 7
     first = F.concat(F.lit("Artículo "), (F.floor(F.col("line_no") / 7) + 1).cast("string"), F.lit(".- "), F.col("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import numeric as N
 from pagemill.plans import batches as B
 from pagemill.plans import planning as P
+from pagemill.plans import reports
 
 
 @pytest.fixture
@@ -47,3 +48,17 @@ def test_upload_cache_counts_from_the_last_miss(spark):
 def test_errors_and_buckets(spark):
     row = spark.range(1).select(B.error_class(F.lit("HTTP 429")), B.error_class(F.lit("code 3310")), B.error_class(F.lit(None).cast("string")), B.size_bucket(F.lit(10.0)), B.traffic_light(F.lit(50.0))).first()
     assert tuple(row) == ("rate_limit", "url_fetch", "none", "medium", "warn")
+
+
+def test_batch_reports_have_a_line_a_file(spark):
+    files = spark.createDataFrame([("b", "x", 20.0, 100), ("b", "y", 200.0, 300), ("c", "z", 1.0, None)], "batch_id string, file_id string, size_mb double, total_pages int")
+    found = {(r.batch_id, r.line_no): r.line for r in reports.batch_report(files, "batch_id", "file_id").collect()}
+    assert found["b", 0].startswith("Archivos a procesar: 2\nTamaño total: 220.0 MB\nPáginas totales: 400\n")
+    assert "2. y\n" in found["b", 2] and "(desde página 101)" in found["b", 2] and "📂 División: 3 archivos" in found["b", 2] and "✅ No requiere" in found["b", 1]
+    assert set(found) == {("b", 0), ("b", 1), ("b", 2), ("c", 0), ("c", 1)}
+
+
+def test_estimation_report(spark):
+    f = P.with_split_needs(spark.createDataFrame([("x", 130.0, 100)], "file_id string, size_mb double, total_pages int"), P.PRE_DIVISION)
+    text = f.select(reports.estimation_report(F.col("file_id"), F.lit(2)).alias("t")).first()["t"]
+    assert "Archivo 1: ~" in text and "❌ EXCEDE\n  └─ 1-50\n  └─ 💡 Recomendación: dividir en 2 partes" in text and "❌ 2 archivos excederán" in text
