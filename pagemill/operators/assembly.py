@@ -230,8 +230,8 @@ def assemble_text(pages: DataFrame, optimize: bool = False) -> DataFrame:
 
 
 def assemble_html_body(pages: DataFrame, optimize: bool = False, domain: str = "general") -> DataFrame:
-    """Documents as markdown for rendering: a rule and a heading before each page, case references escaped."""
-    found = assemble(with_page_content(pages, optimize, domain), "content", "", lambda n: F.format_string("\n\n---\n\n## 📄 Página %d\n\n", n))
+    """Documents as markdown for rendering: a rule and a heading before each page, images embedded, no labels, case references escaped."""
+    found = assemble(with_page_content(pages, optimize, domain, headers=False, embed=True), "content", "", lambda n: F.format_string("\n\n---\n\n## 📄 Página %d\n\n", n))
     return found.withColumn("text", escape_case_refs(F.col("text")))
 
 

@@ -135,7 +135,43 @@ def written_files(spark, d):
     return read_files(spark, folder).select("name", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
-_FUNCTIONS = (written_files, legal_protected, routed_markdown, optimized_markdown, injected_tables, embedded_images, captioned_pages, captioned_html, any_annotations)
+_IMAGES = '[{"id": "a", "image_base64": "data:image/png;base64,AQ==", "annotation": {"image_type": "x", "short_description": "d"}}, {"image_id": "b", "annotations": [{"summary": "s"}, {"short_description": "e"}]}]'
+
+
+def _pages(spark, d):
+    """Conversations as recognised pages: with a table and two images each, headers on even and footers on some pages."""
+    said = F.regexp_replace("markdown", "[^a-zA-Z0-9 .,]", "")
+    pages = V.doc_pages(spark, d).select("doc_id", "page_idx", (F.col("page_idx") + 1).alias("page_num"), F.concat(said, F.lit(" ![a](a) tbl-1.html ![b](b)")).alias("markdown"))
+    header, footer = F.when(F.col("page_idx") % 2 == 0, "H").otherwise(""), F.when(F.col("page_idx") % 3 == 0, "F")
+    return pages.withColumns({"header": header, "footer": footer, "tables": F.array(F.struct(F.lit("<t>").alias("content"))), "images": F.from_json(F.lit(_IMAGES), f"array<{S.IMAGE}>")})
+
+
+def combined_documents(spark, d):
+    """ASM1, ASM5, IMG1: documents with labels, tables and embedded images."""
+    found = A.combined_markdown(_pages(spark, d))
+    return found.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def html_bodies(spark, d):
+    """ASM3: documents as they are rendered, with a rule and a heading before each page."""
+    found = A.assemble_html_body(_pages(spark, d))
+    return found.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def assembled_texts(spark, d):
+    """ASM2, ANN1: documents as plain text, with headings of pages and descriptions of images."""
+    plain = F.regexp_replace("markdown", r" !\[a\].*$", "")
+    found = A.assemble_text(_pages(spark, d).withColumn("markdown", plain))
+    return found.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def response_totals(spark, d):
+    """ASM6: pages and images of each response."""
+    held = _pages(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct("markdown", F.when(F.col("page_idx") % 2 == 0, F.col("images")).alias("images"))).alias("pages"))
+    return A.totals(held)
+
+
+_FUNCTIONS = (combined_documents, html_bodies, assembled_texts, response_totals, written_files, legal_protected, routed_markdown, optimized_markdown, injected_tables, embedded_images, captioned_pages, captioned_html, any_annotations)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 # ---- SQL ----
@@ -157,6 +193,7 @@ _MARKED_UP = rf"""docs AS (SELECT doc_id, array_to_string(list_transform(string_
 ), {table_sql.FOUND}, opened_ AS (SELECT doc_id, line_no, line, starts_with(line, '**Encabezado:**') OR (starts_with(line, '**Pie de página:**') AND line_no >= 2 AND lag(line) OVER w = '') AS opens, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER w AS paragraph FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
 ), blocks AS (SELECT *, line <> '' AND bool_or(opens) OVER (PARTITION BY doc_id, paragraph ORDER BY line_no) AS kept FROM opened_)"""
 
+_EMBEDDED = """' ![a](data:image/png;base64,AQ==)' || chr(10) || chr(10) || '*x*: d ' || chr(10) || chr(10) || '<div class="ocr-table">' || chr(10) || '<t>' || chr(10) || '</div>' || chr(10) || chr(10) || ' ![b](b)' || chr(10) || chr(10) || '*image*: e'"""
 _TITLE = table_sql.spaced(r"regexp_extract(line, '^(#+)\s*([^\n]+)', 2)")
 
 ORACLE_SQL = {
@@ -192,4 +229,14 @@ ORACLE_SQL = {
         UNION ALL SELECT name || '.html', '<!DOCTYPE html>' || chr(10) || '<html lang="es">' || chr(10) || '<head><meta charset="utf-8"><title>Doc ' || doc_id || '</title></head>' || chr(10) || '<body>' || chr(10) || '<script type="application/json" id="document">{"markdown":' || replace(CAST(to_json(text) AS VARCHAR), '</', '<\/') || '}</script>' || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) FROM n
         UNION ALL SELECT doc_id || '/pagina' || (doc_id + 1) || '_img1.' || CASE WHEN doc_id % 2 = 0 THEN 'bmp' ELSE 'webp' END, CASE WHEN doc_id % 2 = 0 THEN 'BM' ELSE 'RIFF' END || text FROM documents WHERE doc_id % 7 = 0)
     SELECT name, strlen(t) AS n_bytes, md5(t) AS digest FROM f""",
+    "combined_documents": rf"""WITH {V.PAGES_SQL}, p AS (SELECT doc_id, page_idx, regexp_replace(markdown, '[^a-zA-Z0-9 .,]', '', 'g') AS said FROM doc_pages
+    ), t AS (SELECT doc_id, page_idx, CASE WHEN page_idx % 2 = 0 THEN '**Encabezado:** H' || chr(10) || chr(10) ELSE '' END || said || {_EMBEDDED} || CASE WHEN page_idx % 3 = 0 THEN chr(10) || chr(10) || '**Pie de página:** F' ELSE '' END AS t FROM p
+    ), r AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY page_idx, t) AS t FROM t GROUP BY doc_id) SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM r""",
+    "html_bodies": rf"""WITH {V.PAGES_SQL}, p AS (SELECT doc_id, page_idx, regexp_replace(markdown, '[^a-zA-Z0-9 .,]', '', 'g') AS said FROM doc_pages
+    ), t AS (SELECT doc_id, page_idx, chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 📄 Página ' || (page_idx + 1) || chr(10) || chr(10) || said || {_EMBEDDED} AS t FROM p
+    ), r AS (SELECT doc_id, string_agg(t, '' ORDER BY page_idx, t) AS t FROM t GROUP BY doc_id) SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM r""",
+    "assembled_texts": rf"""WITH {V.PAGES_SQL}, p AS (SELECT doc_id, page_idx, regexp_replace(markdown, '[^a-zA-Z0-9 .,]', '', 'g') AS said FROM doc_pages
+    ), t AS (SELECT doc_id, page_idx, '=== PÁGINA ' || (page_idx + 1) || ' ===' || chr(10) || chr(10) || CASE WHEN trim(said) = '' THEN '' ELSE said END || chr(10) || 'Imagen (x): d' || chr(10) || 'Imagen (image): e' || chr(10) || chr(10) AS t FROM p
+    ), r AS (SELECT doc_id, string_agg(t, '' ORDER BY page_idx, t) AS t FROM t GROUP BY doc_id) SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM r""",
+    "response_totals": f"WITH {V.PAGES_SQL} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_pages, CAST(sum(CASE WHEN page_idx % 2 = 0 THEN 2 ELSE 0 END) AS INTEGER) AS n_images FROM doc_pages GROUP BY doc_id",
 }
