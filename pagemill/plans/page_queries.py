@@ -12,7 +12,7 @@ from pagemill.plans import table_sql
 from pagemill.plans import views as V
 from pagemill.plans.text_queries import LIKE_SQL
 from pagemill.sources import ocr as S
-from pagemill.sources.files import read_files
+from pagemill.sources.files import read_files, write_files
 from pagemill.sources.shared import shared_folder
 
 
@@ -171,7 +171,87 @@ def response_totals(spark, d):
     return A.totals(held)
 
 
-_FUNCTIONS = (combined_documents, html_bodies, assembled_texts, response_totals, written_files, legal_protected, routed_markdown, optimized_markdown, injected_tables, embedded_images, captioned_pages, captioned_html, any_annotations)
+def read_file_metrics(spark, d):
+    """SRC1, FIL1, FIL9: documents written as files and their status read; types, sizes and why a file is turned away."""
+    k = F.col("doc_id")
+    extension = F.when(k % 4 == 0, ".PDF").when(k % 4 == 1, ".jpeg").when(k % 4 == 2, ".txt").otherwise("")
+    folder = shared_folder(spark, "files")
+    docs = V.table(spark, d, "documents").where("text <> ''")
+    write_files(docs.select(F.concat(F.lit("d"), k.cast("string"), extension).alias("name"), F.col("text").alias("content")), folder)
+    pages = docs.where(k % 3 == 0).select(F.concat(F.lit("d"), k.cast("string")).alias("stem"), (k % 7 + 1).cast("int").alias("total_pages"))
+    files = S.read_file_metrics(spark, folder).withColumn("name", F.regexp_extract("file_id", "([^/]+)$", 1))
+    known = files.withColumn("stem", F.regexp_extract("name", r"^([^.]+)", 1)).hint("merge").join(pages.hint("merge"), "stem").select("file_id", pages["total_pages"])
+    large = S.large_files(spark, folder, 2000).select(F.col("path").alias("file_id"), F.lit(True).alias("large"))
+    found = S.validate_files(S.read_file_metrics(spark, folder, known), 0.001).hint("merge").join(large.hint("merge"), "file_id", "left")
+    return found.select(F.regexp_extract("file_id", "([^/]+)$", 1).alias("name"), F.round("size_mb", 9).alias("size_mb"), "total_pages", "mime", "reject_reason", F.coalesce("large", F.lit(False)).alias("large"))
+
+
+def read_responses(spark, d):
+    """SRC2 to SRC4, FIL: responses written as JSON files, read back, and their pages, images and tables in rows."""
+    pages = _pages(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_idx", "markdown", "header", "footer", "tables", "images"))).alias("pages"))
+    folder = shared_folder(spark, "responses")
+    text = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "pages"))
+    write_files(pages.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), text.alias("content")), folder)
+    exploded = S.explode_pages(S.read_responses(spark, f"{folder}/part-*"), 10)
+    images = S.explode_images(exploded).groupBy("doc_id").agg(F.count("*").alias("n_images"), F.sum("page_num").alias("of_pages"), F.max("image_key").alias("last_key"))
+    tables = S.explode_tables(exploded).groupBy("doc_id").agg(F.count("*").alias("n_tables"), F.sum(F.length("content")).alias("table_chars"))
+    whole = exploded.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("markdown")).alias("n_chars"), F.count_if(F.col("header") == "H").alias("n_headers"))
+    return whole.hint("merge").join(images.hint("merge"), "doc_id").hint("merge").join(tables.hint("merge"), "doc_id")
+
+
+#: A line of each kind that laws have, and what it is: article number and suffix, amendment pattern, date, fraction, subsection.
+SPELLINGS = [
+    ("Artículo 5o.- texto", "5o", "o", None, None, None, None),
+    ("ARTICULO 12 Bis. texto", "12Bis", "Bis", None, None, None, None),
+    ("## Art. 7-A. texto", "7-A", "-A", None, None, None, None),
+    ("> artículo 9° Quáter texto", "9° Quáter", "° Quáter", None, None, None, None),
+    ("Artículo adicionado DOF 01-02-2020", None, None, 1, "2020-02-01", None, None),
+    ("**Parrafo adicionado D.O.F. 12 enero 2019", None, None, 2, "2019-01-12", None, None),
+    ("Fracciòn adicionada DOF 1/3/21", None, None, 3, "2021-03-01", None, None),
+    ("Inciso adicionado DOF 02.03.2004", None, None, 4, "2004-03-02", None, None),
+    ("Párrafo con numerales adicionado DOF 03-04-2015", None, None, 5, "2015-04-03", None, None),
+    ("PÁRRAFO CON INCISOS ADICIONADO DOF 03-04-2016", None, None, 6, "2016-04-03", None, None),
+    ("Se adicionan los artículos 3 y 4, 05-06-2017", None, None, 7, "2017-06-05", None, None),
+    ("Artículo reformado DOF 07-08-2018", None, None, 8, "2018-08-07", None, None),
+    ("Párrafo reformado DOF 07-08-2019", None, None, 9, "2019-08-07", None, None),
+    ("# Fracción reformada DOF diciembre 24, 2020", None, None, 10, "2020-12-24", None, None),
+    ("Inciso reformado DOF 07-08-2021", None, None, 11, "2021-08-07", None, None),
+    ("Apartado reformado DOF 07-08-2022", None, None, 12, "2022-08-07", None, None),
+    ("Fracción recorrida DOF 09-10-2011", None, None, 13, "2011-10-09", None, None),
+    ("Párrafo adicionado DOF. Reformado DOF 11-12-2012", None, None, 15, "2012-12-11", None, None),
+    ("Última reforma publicada DOF 01-01-2013", None, None, 16, "2013-01-01", None, None),
+    ("Se reforman los artículos 3 y 4, 31-02-2014", None, None, 17, None, None, None),
+    ("Apartado derogado", None, None, 18, None, None, None),
+    ("Derogación publicada en ley", None, None, 19, None, None, None),
+    ("Se derogan varios", None, None, 20, None, None, None),
+    ("(DEROGADO)", None, None, 21, None, None, None),
+    ("Última reforma incorporada", None, None, 22, None, None, None),
+    ("Texto vigente DOF 12 de marzo", None, None, 23, None, None, None),
+    ("Fe de erratas 12", None, None, 24, None, None, None),
+    ("*(DEROGADO) en cursiva*", None, None, None, None, None, None),
+    ("IV. texto", None, None, None, None, "IV", None),
+    ("(X) texto", None, None, None, None, "X", None),
+    ("Fracción XII texto", None, None, None, None, "XII", None),
+    ("IIX. texto", None, None, None, None, None, None),
+    ("a) texto", None, None, None, None, None, "a"),
+    ("* (b) texto", None, None, None, None, None, "b"),
+    ("c.- texto", None, None, None, None, None, "c"),
+    ("B) texto", None, None, None, None, None, "B"),
+    ("solo texto", None, None, None, None, None, None),
+]
+
+
+def legal_spellings(spark, d):
+    """LEG3 to LEG9: the lines of documents in all spellings, told apart."""
+    lines = V.spread(V.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
+    spelled = F.get(F.array(*[F.lit(x[0]) for x in SPELLINGS]), F.pmod(F.col("doc_id") * 7 + F.col("line_no"), F.lit(len(SPELLINGS))).cast("int"))
+    found = L.with_structure(lines.select("doc_id", "line_no", spelled.alias("line")))
+    number, _, suffix = L.article_number(F.col("line"))
+    own = lambda c: F.when(F.col("is_article"), c)
+    return found.select("doc_id", "line_no", own(number).alias("number"), own(suffix).alias("suffix"), F.col("amendment").alias("pattern"), L.amendment_kind(F.col("amendment")).alias("kind"), F.when(F.col("amendment").isNotNull(), F.get(L.amendment_dates(F.col("line")), F.lit(0))).alias("date"), "numeral", "letter")
+
+
+_FUNCTIONS = (legal_spellings, read_file_metrics, read_responses, combined_documents, html_bodies, assembled_texts, response_totals, written_files, legal_protected, routed_markdown, optimized_markdown, injected_tables, embedded_images, captioned_pages, captioned_html, any_annotations)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 # ---- SQL ----
@@ -194,6 +274,14 @@ _MARKED_UP = rf"""docs AS (SELECT doc_id, array_to_string(list_transform(string_
 ), blocks AS (SELECT *, line <> '' AND bool_or(opens) OVER (PARTITION BY doc_id, paragraph ORDER BY line_no) AS kept FROM opened_)"""
 
 _EMBEDDED = """' ![a](data:image/png;base64,AQ==)' || chr(10) || chr(10) || '*x*: d ' || chr(10) || chr(10) || '<div class="ocr-table">' || chr(10) || '<t>' || chr(10) || '</div>' || chr(10) || chr(10) || ' ![b](b)' || chr(10) || chr(10) || '*image*: e'"""
+_KINDS = [(7, "addition"), (17, "reform"), (24, "note")]
+
+
+def _value(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+_SPELLED = ", ".join(f"({k}, {', '.join(map(_value, x[1:4]))}, {_value(next((name for last, name in _KINDS if x[3] and x[3] <= last), None))}, {', '.join(map(_value, x[4:]))})" for k, x in enumerate(SPELLINGS))
 _TITLE = table_sql.spaced(r"regexp_extract(line, '^(#+)\s*([^\n]+)', 2)")
 
 ORACLE_SQL = {
@@ -239,4 +327,9 @@ ORACLE_SQL = {
     ), t AS (SELECT doc_id, page_idx, '=== PÁGINA ' || (page_idx + 1) || ' ===' || chr(10) || chr(10) || CASE WHEN trim(said) = '' THEN '' ELSE said END || chr(10) || 'Imagen (x): d' || chr(10) || 'Imagen (image): e' || chr(10) || chr(10) AS t FROM p
     ), r AS (SELECT doc_id, string_agg(t, '' ORDER BY page_idx, t) AS t FROM t GROUP BY doc_id) SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS digest FROM r""",
     "response_totals": f"WITH {V.PAGES_SQL} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_pages, CAST(sum(CASE WHEN page_idx % 2 = 0 THEN 2 ELSE 0 END) AS INTEGER) AS n_images FROM doc_pages GROUP BY doc_id",
+    "read_file_metrics": """WITH f AS (SELECT doc_id, 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.txt' ELSE '' END AS name, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' END AS mime, strlen(text) / CAST(1048576 AS DOUBLE) AS mb, strlen(text) AS n FROM documents WHERE text <> '')
+    SELECT name, round(mb, 9) AS size_mb, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 + 1 ELSE greatest(1, floor(mb * 4)) END AS INTEGER) AS total_pages, mime, CASE WHEN mime IS NULL THEN 'type' WHEN mb > 0.001 THEN 'size' END AS reject_reason, n > 2000 AS large FROM f""",
+    "read_responses": rf"""WITH {V.PAGES_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS n_pages, CAST(sum(length(regexp_replace(markdown, '[^a-zA-Z0-9 .,]', '', 'g')) + 27) AS BIGINT) AS n_chars, count(*) FILTER (page_idx % 2 = 0) AS n_headers, 2 * count(*) AS n_images, CAST(count(*) * (count(*) + 1) + 20 * count(*) AS BIGINT) AS of_pages, 'b' AS last_key, count(*) AS n_tables, CAST(3 * count(*) AS BIGINT) AS table_chars FROM doc_pages GROUP BY doc_id""",
+    "legal_spellings": f"""WITH s(k, number, suffix, pattern, kind, date, numeral, letter) AS (VALUES {_SPELLED}), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, number, suffix, CAST(pattern AS INTEGER) AS pattern, kind, CAST(date AS DATE) AS date, numeral, letter FROM l JOIN s ON s.k = (doc_id * 7 + line_no) % {len(SPELLINGS)}""",
 }
