@@ -108,11 +108,10 @@ def optimal_plan(limits: Limits = Limits()) -> Column:
 def alternative_plans(limits: Limits = Limits()) -> Column:
     """Up to three plans by falling score: the required parts, one more, and chunks of 50 and 100 pages where those are optimal."""
     need = F.col("required_files")
-    plain = F.array(*[F.struct(split_plan(n, limits).alias("plan"), F.lit(k).alias("order"), F.lit(True).alias("kept")) for k, n in enumerate((need, need + 1))])
-    chunks = []
-    for k, pages in enumerate((50, 100), 2):
-        plan = split_plan(ceil_div(F.col("total_pages"), pages), limits)
-        chunks.append(F.struct(plan.alias("plan"), F.lit(k).alias("order"), (F.col("total_pages") > pages) & is_optimal(plan, limits)))
+    option = lambda n, k, kept: bound(split_plan(n, limits), lambda p: F.struct(p.alias("plan"), F.lit(k).alias("order"), kept(p).alias("kept")))
+    plain = F.array(*[option(n, k, lambda p: F.lit(True)) for k, n in enumerate((need, need + 1))])
+    fits = lambda pages: lambda p: (F.col("total_pages") > pages) & is_optimal(p, limits)
+    chunks = [option(ceil_div(F.col("total_pages"), pages), k, fits(pages)) for k, pages in enumerate((50, 100), 2)]
     options = F.filter(F.concat(plain, F.array(*chunks).cast("array<struct<plan:struct<num_files:int,pages_per_file:int,mb_per_file:double,strategy:string,score:double,warnings:array<string>>,order:int,kept:boolean>>")), lambda o: o["kept"])
     ranked = F.array_sort(F.transform(options, lambda o: F.struct((-o["plan"]["score"]).alias("by"), o["order"].alias("order"), o["plan"].alias("plan"))))
     same = lambda a, b: (a["num_files"] == b["num_files"]) & (a["pages_per_file"] == b["pages_per_file"])
