@@ -6,10 +6,10 @@ deleting one adds or subtracts its vector. An array of longs holds
 
 * one lane: the number of units, modulo 2^20;
 * 16 lanes modulo 2^32 for equality, from two 64-bit hashes of the whole paragraph;
-* 152 lanes modulo 2^14 for likeness, four to a long: how many units have each of 152 bits set in their hashes. Units are the
+* 96 lanes modulo 2^14 for likeness, four to a long: how many units have each of 96 bits set in their hashes. Units are the
   runs of three words of a paragraph, one at each word, or the whole of a shorter paragraph. Taken as signs, the lanes are
   a sketch whose inner products estimate how many units two texts share, a unit by the product of its numbers in both; the
-  standard error is about 0.1. A sum of signs is known from its count modulo 2^14 while it is under 16,384: as long as
+  standard error is about 0.12. A sum of signs is known from its count modulo 2^14 while it is under 16,384: as long as
   no unit is repeated more often in a text, and by chance in texts of up to 7 million words.
 """
 
@@ -25,7 +25,7 @@ _FIELDS = (0, 15, 30, 45)
 _ONES = sum(1 << k for k in _FIELDS)
 _FULL = _ONES * ((1 << _BITS) - 1)
 _GUARD = _ONES << _BITS
-_PACKED = 38
+_PACKED = 24
 _OF_HASH = 15  # longs that one hash of a unit fills: its bits k, k + 15, ...
 _RUN = 3  # words of a unit
 
