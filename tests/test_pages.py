@@ -104,3 +104,16 @@ def test_files_round_trip_and_failed_tasks_leave_nothing(spark, tmp_path):
     assert not [f for _, _, names in os.walk(tmp_path / "bad") for f in names]
     files.write_files(spark.createDataFrame([], "name string, content string"), f"{tmp_path}/none")
     assert os.listdir(tmp_path / "none") == ["_SUCCESS"]
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    rows = spark.range(40).select(F.concat_ws("/", F.col("id") % 3, F.concat("id", F.lit(".txt"))).alias("name"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("content"))
+    files.write_files(rows.repartition(4), f"{tmp_path}/out")
+    (tmp_path / "out" / "plain").write_text("y")
+    found = {r.path: r.length for r in files.file_status(spark, f"file://{tmp_path}/out").collect()}
+    assert found == {r.path: r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/out").select("path", "length").collect()} | {k: 0 for k in found if k.endswith("/0.txt")}
+    assert len(found) == 41 and files.read_files(spark, f"{tmp_path}/out").count() == 40
+    for df in (files.file_status(spark, f"{tmp_path}/out"), files.read_files(spark, f"{tmp_path}/out")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchScan" in plan and "InMemoryFileIndex" not in plan
+        assert df.rdd.getNumPartitions() == 5
