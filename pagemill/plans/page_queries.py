@@ -192,7 +192,7 @@ def read_responses(spark, d):
     folder = shared_folder(spark, "responses")
     text = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "pages"))
     write_files(pages.select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), text.alias("content")), folder)
-    exploded = S.explode_pages(S.read_responses(spark, f"{folder}/part-*"), 10)
+    exploded = S.explode_pages(S.read_responses(spark, folder), 10)
     images = S.explode_images(exploded).groupBy("doc_id").agg(F.count("*").alias("n_images"), F.sum("page_num").alias("of_pages"), F.max("image_key").alias("last_key"))
     tables = S.explode_tables(exploded).groupBy("doc_id").agg(F.count("*").alias("n_tables"), F.sum(F.length("content")).alias("table_chars"))
     whole = exploded.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum(F.length("markdown")).alias("n_chars"), F.count_if(F.col("header") == "H").alias("n_headers"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.plans.planning import PAGES_PER_MB, density
-from pagemill.sources.files import write_files
+from pagemill.sources.files import file_status, read_files, write_files
 
 ANNOTATION = "struct<image_type:string,short_description:string,summary:string,tipo_imagen:string,descripcion_breve:string,descripcion_detallada:string,diagram_type:string,chart_type:string,detailed_description:string,data_description:string,main_elements:string,title:string,scale:string,dimensions:string,technical_notes:string,trends_insights:string,x_axis_label:string,y_axis_label:string>"
 IMAGE = f"struct<id:string,image_id:string,image_base64:string,data_uri:string,data:binary,annotation:{ANNOTATION},annotations:array<{ANNOTATION}>>"
@@ -23,9 +23,9 @@ def read_file_metrics(spark: SparkSession, path: str, pages: DataFrame | None =
 
     `pages` may give `file_id, total_pages`; else pages are estimated from the size.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_id"), (F.col("length") / (1024.0 * 1024.0)).alias("size_mb"))
+    files = file_status(spark, path).select(F.col("path").alias("file_id"), (F.col("length") / (1024.0 * 1024.0)).alias("size_mb"))
     if pages is not None:
-        files = files.join(pages.select("file_id", F.col("total_pages").cast("int").alias("known")), "file_id", "left")
+        files = files.hint("merge").join(pages.select("file_id", F.col("total_pages").cast("int").alias("known")).hint("merge"), "file_id", "left")
     else:
         files = files.withColumn("known", F.lit(None).cast("int"))
     found = files.withColumn("total_pages", F.coalesce("known", F.greatest(F.lit(1), F.floor(F.col("size_mb") * PAGES_PER_MB)).cast("int"))).drop("known")
@@ -43,11 +43,13 @@ def validate_files(files: DataFrame, max_size_mb: float) -> DataFrame:
 
 def large_files(spark: SparkSession, path: str, least: int = LARGE_BYTES) -> DataFrame:
     """`path, length` of the files over a size, at any depth."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > least).select("path", "length")
+    return file_status(spark, path).where(F.col("length") > least)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESPONSE).option("multiLine", True).json(path)
+    """`doc_id, pages` of the JSON files that write_files has put below a path, each an object or an array of such; nulls for what is no JSON."""
+    found = F.from_json(F.col("content").cast("string"), T.ArrayType(T.StructType.fromDDL(RESPONSE)))
+    return read_files(spark, path).select(F.explode_outer(found).alias("r")).select("r.*")
 
 
 def explode_pages(responses: DataFrame, page_offset: int = 0) -> DataFrame:
