@@ -125,33 +125,48 @@ def recommendations(limits: Limits = Limits()) -> Column:
     return F.array_compact(bound(optimal_plan(limits), lambda best: F.concat(F.array(best), others(best))))
 
 
-def even_pages(pages: Column, n: Column) -> Column:
-    """n numbers of pages that differ by one at most, larger ones first."""
-    base, extra = F.floor(pages / n).cast("int"), (pages % n).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: base + F.when(k < extra, 1).otherwise(0))
+def estimated_mb(count: Column) -> Column:
+    """The estimated MB of so many pages of a file."""
+    return count * (F.col("size_mb") / F.col("total_pages")) * PART_OVERHEAD
+
+
+def even_split(n: Column) -> Column:
+    """The two sizes that n even parts of a file have, as a struct: base pages, and one more for the first `extra` parts."""
+    pages = F.col("total_pages")
+    return F.struct(F.floor(pages / n).cast("int").alias("base"), (pages % n).cast("int").alias("extra"))
 
 
 def estimated_parts(n: Column, limits: Limits = PRE_DIVISION, pages: Column | None = None) -> Column:
-    """The parts of a file: index, pages, first and last page, estimated MB, whether it exceeds the limit and into how many to cut it."""
-    shares = pages if pages is not None else even_pages(F.col("total_pages"), n)
-    per_page = F.col("size_mb") / F.col("total_pages")
+    """The parts of a file: index, pages, first and last page, estimated MB, whether it exceeds the limit and into how many to cut it.
+
+    Parts are even if their `pages` aren't given; then what is before one follows from its index, and work grows with n.
+    """
 
-    def part(count: Column, k: Column) -> Column:
-        before = F.aggregate(F.slice(shares, F.lit(1), k), F.lit(0), lambda a, x: a + x)
-        mb = count * per_page * PART_OVERHEAD
+    def part(k: Column, count: Column, before: Column, mb: Column) -> Column:
         over = mb > limits.max_size_mb
         return F.struct(k.alias("part"), count.alias("pages"), (before + 1).alias("first_page"), (before + count).alias("last_page"), mb.alias("mb"), over.alias("exceeds"), F.when(over, ceil_div(mb, limits.max_size_mb)).alias("resplit"))
 
-    return F.transform(shares, part)
+    if pages is not None:
+        return F.transform(pages, lambda count, k: part(k, count, F.aggregate(F.slice(pages, F.lit(1), k), F.lit(0), lambda a, x: a + x), estimated_mb(count)))
+
+    def even(s: Column) -> Column:
+        count = lambda k: s["base"] + F.when(k < s["extra"], 1).otherwise(0)
+        return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda k: part(k, count(k), k * s["base"] + F.least(k, s["extra"]), estimated_mb(count(k))))
+
+    return bound(even_split(n), even)
 
 
 def pre_division(n: Column, limits: Limits = PRE_DIVISION) -> Column:
     """A summary of estimated_parts: parts, how many exceed, whether none does, the largest, and the size efficiency."""
-    parts = estimated_parts(n, limits)
-    largest = F.array_max(F.transform(parts, lambda p: p["mb"]))
-    over = F.size(F.filter(parts, lambda p: p["exceeds"]))
-    efficiency = F.when(largest > 0, F.least(F.lit(1.0), F.lit(limits.max_size_mb) / largest)).otherwise(1.0)
-    return F.struct(n.cast("int").alias("num_files"), over.alias("n_exceeding"), (over == 0).alias("all_within"), largest.alias("max_mb"), efficiency.alias("efficiency"))
+
+    def summary(s: Column) -> Column:
+        exceeding = lambda count, of: F.when(estimated_mb(count) > limits.max_size_mb, of).otherwise(of * 0)
+        over = F.when(n.isNotNull(), F.coalesce((exceeding(s["base"] + 1, s["extra"]) + exceeding(s["base"], n.cast("int") - s["extra"])).cast("int"), F.lit(0)))
+        largest = F.greatest(estimated_mb(s["base"]), estimated_mb(s["base"] + F.when(s["extra"] > 0, 1).otherwise(0)))
+        efficiency = F.when(largest > 0, F.least(F.lit(1.0), F.lit(limits.max_size_mb) / largest)).otherwise(1.0)
+        return F.struct(n.cast("int").alias("num_files"), over.alias("n_exceeding"), (over == 0).alias("all_within"), largest.alias("max_mb"), efficiency.alias("efficiency"))
+
+    return bound(even_split(n), summary)
 
 
 def division_recommendations(requested: Column, limits: Limits = PRE_DIVISION) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.quality import with_quality
+from pagemill.functions.text import bound
 from pagemill.operators.prefix import prefix_sums
 from pagemill.plans import planning as P
 from pagemill.plans import views as V
@@ -53,18 +54,26 @@ def quality_reports(spark, d):
 
 def estimation_report(name: Column, n: Column, limits: P.Limits = P.PRE_DIVISION) -> Column:
     """What a division of a file of with_split_needs into n parts would give, as lines; a file has at most a few parts."""
-    plan, parts = P.pre_division(n, limits), P.estimated_parts(n, limits)
 
-    def part(x: Column) -> Column:
-        told = F.format_string("Archivo %d: ~%.1fMB (%d pág) %s\n  └─ %d-%d", x["part"] + 1, x["mb"], x["pages"], F.when(x["exceeds"], "❌ EXCEDE").otherwise("✅ OK"), x["first_page"], x["last_page"])
-        return F.when(x["exceeds"], F.concat(told, F.format_string("\n  └─ 💡 Recomendación: dividir en %d partes", x["resplit"]))).otherwise(told)
+    # even parts have two sizes at most, so what tells of a size is formatted once for each
+    def told(count: Column) -> Column:
+        mb = P.estimated_mb(count)
+        over = mb > limits.max_size_mb
+        says = F.format_string(": ~%.1fMB (%d pág) %s\n  └─ ", mb, count, F.when(over, "❌ EXCEDE").otherwise("✅ OK"))
+        return F.struct(count.alias("pages"), says.alias("says"), F.when(over, F.format_string("\n  └─ 💡 Recomendación: dividir en %d partes", P.ceil_div(mb, limits.max_size_mb))).otherwise("").alias("advice"))
 
-    head = F.format_string(
+    def part(k: Column, before: Column, size: Column) -> Column:
+        return F.concat(F.lit("Archivo "), (k + 1).cast("string"), size["says"], (before + 1).cast("string"), F.lit("-"), (before + size["pages"]).cast("string"), size["advice"])
+
+    sizes = bound(P.even_split(n), lambda s: F.struct(s["extra"].alias("extra"), told(s["base"]).alias("small"), told(s["base"] + 1).alias("large")))
+    large, small = lambda t, k: part(k, k * t["large"]["pages"], t["large"]), lambda t, k: part(k, k * t["small"]["pages"] + t["extra"], t["small"])
+    lines = bound(sizes, lambda t: F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda k: F.when(k < t["extra"], large(t, k)).otherwise(small(t, k))))
+    head = lambda plan: F.format_string(
         "📊 REPORTE DE ESTIMACIÓN PRE-DIVISIÓN\n📄 Archivo: %s\n📏 Tamaño original: %.1f MB\n📑 Total páginas: %,d\n🔢 Archivos solicitados: %d\n💡 Archivos recomendados: %d\n⚡ Eficiencia de tamaño: %.0f%%\n\n📋 ESTIMACIONES POR ARCHIVO:",
         name, F.col("size_mb"), F.col("total_pages"), n, F.col("required_files"), plan["efficiency"] * 100,
     )
-    trouble = F.format_string("\n🚨 PROBLEMAS DETECTADOS:\n❌ %d archivos excederán el límite de 50MB\n💡 Se recomienda usar %d archivos en su lugar", plan["n_exceeding"], F.col("required_files"))
-    return F.array_join(F.array_compact(F.concat(F.array(head), F.transform(parts, part), F.array(F.when(~plan["all_within"], trouble)))), "\n")
+    trouble = lambda plan: F.format_string("\n🚨 PROBLEMAS DETECTADOS:\n❌ %d archivos excederán el límite de 50MB\n💡 Se recomienda usar %d archivos en su lugar", plan["n_exceeding"], F.col("required_files"))
+    return bound(P.pre_division(n, limits), lambda plan: F.array_join(F.array_compact(F.concat(F.array(head(plan)), lines, F.array(F.when(~plan["all_within"], trouble(plan))))), "\n"))
 
 
 def batch_report(files: DataFrame, batch: str, order: str, limits: P.Limits = P.Limits()) -> DataFrame:

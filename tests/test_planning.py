@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import numeric as N
 from pagemill.plans import batches as B
 from pagemill.plans import planning as P
+from pagemill.plans.reports import estimation_report
 from pagemill.plans import reports
 
 
@@ -62,3 +63,23 @@ def test_estimation_report(spark):
     f = P.with_split_needs(spark.createDataFrame([("x", 130.0, 100)], "file_id string, size_mb double, total_pages int"), P.PRE_DIVISION)
     text = f.select(reports.estimation_report(F.col("file_id"), F.lit(2)).alias("t")).first()["t"]
     assert "Archivo 1: ~" in text and "❌ EXCEDE\n  └─ 1-50\n  └─ 💡 Recomendación: dividir en 2 partes" in text and "❌ 2 archivos excederán" in text
+
+
+def test_estimates_of_many_parts(spark):
+    n = 20_000
+    files = spark.createDataFrame([(3.0 * n, 2 * n + 7)], "size_mb double, total_pages int")
+    p = files.select(P.estimated_parts(F.lit(n)).alias("p"), P.pre_division(F.lit(n)).alias("d")).first()
+    assert [x.first_page for x in p.p[:9]] == [1, 4, 7, 10, 13, 16, 19, 22, 24]
+    assert p.p[-1].last_page == 2 * n + 7 and all(a.last_page + 1 == b.first_page for a, b in zip(p.p, p.p[1:]))
+    mbs = [x.mb for x in p.p]
+    assert (p.d.num_files, p.d.n_exceeding, p.d.max_mb) == (n, sum(x.exceeds for x in p.p), max(mbs))
+
+
+def test_report_of_an_estimated_division(spark):
+    files = P.with_split_needs(spark.createDataFrame([(1, 130.0, 7)], "file_id long, size_mb double, total_pages int"), P.PRE_DIVISION)
+    report = files.select(estimation_report(F.lit("f"), F.lit(2))).first()[0]
+    assert report.split("ARCHIVO:\n")[1].split("\n") == [
+        "Archivo 1: ~76.5MB (4 pág) ❌ EXCEDE", "  └─ 1-4", "  └─ 💡 Recomendación: dividir en 2 partes",
+        "Archivo 2: ~57.4MB (3 pág) ❌ EXCEDE", "  └─ 5-7", "  └─ 💡 Recomendación: dividir en 2 partes",
+        "", "🚨 PROBLEMAS DETECTADOS:", "❌ 2 archivos excederán el límite de 50MB", f"💡 Se recomienda usar {files.first().required_files} archivos en su lugar",
+    ]
