@@ -43,11 +43,23 @@ def dictionary_lookup(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select(*words.columns, (F.coalesce("known", F.lit(False)) & (F.length("word") >= 2)).alias("valid"))
 
 
-def vocabulary_validity(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """`doc_id, n_words, n_valid, validity`: how many of a document's words a dictionary has. Words are counted before the join."""
-    counts = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("doc_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+#: Up to so many distinct words, a dictionary is sent to all tasks.
+SENT_WORDS = 200_000
+
+
+def vocabulary_validity(docs: DataFrame, dictionary: DataFrame, sent: int = SENT_WORDS) -> DataFrame:
+    """`doc_id, n_words, n_valid, validity`: how many of a document's words a dictionary has.
+
+    A dictionary of up to `sent` words, which are counted first, is sent to all tasks, so that no word of a document is
+    shuffled. A larger one is joined by word, with a document's words counted before the join.
+    """
     known = dictionary.select("word").distinct().withColumn("known", F.lit(1))
-    found = counts.hint("merge").join(known.hint("merge"), "word", "left").withColumn("ok", F.col("known").isNotNull() & (F.length("word") >= 2))
+    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).select("doc_id", F.lower("word").alias("word"))
+    if known.limit(sent + 1).count() <= sent:
+        counts = words.withColumn("n", F.lit(1)).join(known.hint("broadcast"), "word", "left")
+    else:
+        counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n")).hint("merge").join(known.hint("merge"), "word", "left")
+    found = counts.withColumn("ok", F.col("known").isNotNull() & (F.length("word") >= 2))
     found = found.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("n_valid"))
     return found.withColumn("validity", F.col("n_valid") / F.col("n_words"))
 

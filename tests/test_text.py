@@ -175,3 +175,13 @@ def test_decomposed_laws_are_composed(spark):
     (row,) = L.structure_counts(L.with_structure(L.legal_lines(docs))).collect()
     assert (row.articles, row.amendments) == (1, 1)
     assert one(spark, "e\u0301 a", composed) == "\u00e9 a" and one(spark, "abc", composed) == "abc"
+
+
+def test_vocabulary_by_a_sent_and_by_a_joined_dictionary(spark):
+    docs = spark.createDataFrame([(1, "Casa casa rn x"), (2, "perro"), (2, "CASA"), (3, ""), (4, None)], "doc_id long, text string")
+    words = spark.createDataFrame([("casa",), ("casa",), ("x",), (None,)], "word string")
+    sent, joined = D.vocabulary_validity(docs, words), D.vocabulary_validity(docs, words, sent=2)
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, joined.collect())) == [(1, 4, 2, 0.5), (2, 2, 1, 0.5)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(sent) and "SortMergeJoin" not in plan(sent)
+    assert "SortMergeJoin" in plan(joined)
