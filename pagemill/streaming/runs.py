@@ -49,31 +49,44 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """The store that state of any kind needs, and few of its partitions, while a stream runs."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The store that state of any kind needs, and as many of its partitions as the cluster has cores, while a stream runs.
+
+    Each micro-batch starts a worker for every partition, however few rows it has.
+    """
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+#: Into how many files a micro-batch is written, so that as many tasks read it.
+FILES = 24
 
 
 def in_batches(rows: DataFrame, batch: str, ts: str, drain: dict) -> DataFrame:
-    """A stream of a table, a micro-batch for each value of `batch` in order, and then one row whose time passes all others.
+    """A stream of a table, about a micro-batch for each value of `batch` in order, and then one row whose time passes all others.
 
     `drain` has that row's other values; its time is a year after the last. Without it the rows of the last `delay` would
-    wait for ever.
+    wait for ever. The table is dealt by batch once; then each batch is read by itself and written as FILES files, by so
+    many tasks. Of a batch with fewer rows than files, the next one's files make up the number. Rows without a batch are
+    left out.
     """
     spark = rows.sparkSession
     folder = shared_folder(spark, "batches")
-    numbers = [r[0] for r in rows.select(batch).distinct().orderBy(batch).collect()]
-    for n in numbers:
-        rows.where(F.col(batch) == n).drop(batch).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     kept = rows.drop(batch)
+    rows.where(F.col(batch).isNotNull()).write.partitionBy(batch).parquet(f"{folder}/dealt")
+    dealt = spark.read.schema(rows.schema).parquet(f"{folder}/dealt")
+    numbers = [r[0] for r in dealt.select(batch).distinct().orderBy(batch).collect()]
+    for n in numbers:
+        dealt.where(F.col(batch) == n).select(*kept.columns).repartition(FILES).write.mode("append").parquet(f"{folder}/in")
     last = rows.agg((F.max(ts) + F.expr("interval 365 days")).alias(ts)).withColumns({k: F.lit(v) for k, v in drain.items()})
     last.select(*[F.col(f.name).cast(f.dataType) for f in kept.schema]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/in")
 
 
 def _mixed(e: DataFrame) -> DataFrame:
