@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import random
 
 import pytest
@@ -49,3 +51,17 @@ def test_many_uploads_of_one_hash(spark):
     found = numeric.upload_cache_hits(rows.unionByName(spark.createDataFrame([(None, None), (None, 5.0), ("i", 5.0)], "content_hash string, s double").select("content_hash", F.timestamp_seconds("s").alias("ts"))), ttl)
     got = {r.content_hash: (r.n, r.hits) for r in found.groupBy("content_hash").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).collect()}
     assert got == {"h": (n, n - -(-n // ttl)), None: (1, 0), "i": (1, 0)}
+
+
+def test_batches_are_read_by_several_tasks_and_state_is_by_group(spark):
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    events = spark.range(3000).select((F.col("id") % 2).alias("batch"), F.concat(F.lit("h"), F.col("id") % 700).alias("content_hash"), ts.alias("ts"))
+    with runs.state_store(spark):
+        stream = runs.in_batches(events, "batch", "ts", {"content_hash": "drain"})
+        written = max(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/batches-*/in"), key=os.path.getmtime)
+        assert len(glob.glob(f"{written}/*.parquet")) == 2 * runs.FILES + 1
+        deduped = streams.dedup_uploads(stream, 1000, "1 day")
+        found = runs.run_to_end(deduped).where("content_hash <> 'drain'")
+    assert found.count() == 3000 and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    want = numeric.upload_cache_hits(events.select("content_hash", "ts"), 1000)
+    assert found.exceptAll(want).isEmpty()
