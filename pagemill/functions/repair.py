@@ -7,6 +7,7 @@ numbers and underscore of any script, so that they don't depend on the Java vers
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
@@ -15,41 +16,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
-from pagemill.functions.text import WORD_CHAR, WORD_END, WORD_START, replaced, split_lines, strip
+from pagemill.functions.text import WORD_CHAR, WORD_END, replaced, split_lines, strip
 
 Rules = Sequence[tuple[str, str]]
 
 
 def _word(w: str, tail: str = WORD_END) -> str:
     """A whole word. Plain characters come first, so that the boundary is looked at only where they are."""
-    return f"{w}(?<!{WORD_CHAR}{w}){tail}" if w.isalnum() else f"{WORD_START}{w}{tail}"
+    plain = w if w.isalnum() else re.match("[A-Za-z]+", w)[0]
+    return f"{plain}(?<!{WORD_CHAR}{plain}){w.removeprefix(plain)}{tail}"
+
+
+def _between(c: str, before: str, behind: str) -> str:
+    """A character between others; what stands before it is looked at only where it is."""
+    return f"{c}(?<={before}{c})(?={behind})"
 
 
 # The rules, in their order.
-SPACING = [(" +", " "), (" +([.,;:!?])", "$1"), (r"([.,;:!?])(?=[A-Za-z])", "$1 ")]
+SPACING = [("  +", " "), (" +([.,;:!?])", "$1"), (r"([.,;:!?])(?=[A-Za-z])", "$1 ")]
 PUNCTUATION = [("--+", "—")]
-# A word is tried from its beginning, or from where the last match ended, and not from each of its letters.
-HYPHENATION = [(rf"(?:\G|(?<!{WORD_CHAR}))({WORD_CHAR}++)-\s*[\r\n]+\s*([a-záéíóúüñ])", "$1$2")]
+# Tried at hyphens only. The letter behind one is used up, so a hyphen right behind it has no word of its own.
+HYPHENATION = [(rf"-(?<={WORD_CHAR}-)(?<!\G-)\s*[\r\n]+\s*([a-záéíóúüñ])", "$1")]
 PAIRS = [
-    ("\"([^\"']+)'", '"$1"'),
-    ("'([^\"']+)\"", '"$1"'),
-    (r"\(([^()\n]+)\n", "($1)\n"),
-    (r"\n([^()\n]+)\)", "\n($1)"),
-    (r"\[([^\[\]\n]+)\n", "[$1]\n"),
-    (r"\n([^\[\]\n]+)\]", "\n[$1]"),
+    ("\"([^\"']++)'", '"$1"'),
+    ("'([^\"']++)\"", '"$1"'),
+    (r"\(([^()\n]++)\n", "($1)\n"),
+    (r"\n([^()\n]++)\)", "\n($1)"),
+    (r"\[([^\[\]\n]++)\n", "[$1]\n"),
+    (r"\n([^\[\]\n]++)\]", "\n[$1]"),
 ]
 LETTERS_AND_DIGITS = [
-    (rf"(?<!{WORD_CHAR})l(?=\d)", "1"),
-    (r"(?<=\d)O(?=\d)", "0"),
-    (r"(?<=\d)o(?=\d)", "0"),
-    (r"(?<=\d)l(?=\d)", "1"),
-    (r"(?<=\d)I(?=\d)", "1"),
-    (r"(?<=\d)S(?=\d)", "5"),
-    (r"(?<=\d)Z(?=\d)", "2"),
+    (rf"l(?<!{WORD_CHAR}l)(?=\d)", "1"),
+    (_between("O", r"\d", r"\d"), "0"),
+    (_between("o", r"\d", r"\d"), "0"),
+    (_between("l", r"\d", r"\d"), "1"),
+    (_between("I", r"\d", r"\d"), "1"),
+    (_between("S", r"\d", r"\d"), "5"),
+    (_between("Z", r"\d", r"\d"), "2"),
 ]
 LETTER_PAIRS = [
     (_word("rn"), "m"),
-    (rf"(?<!{WORD_CHAR})rn(?=\s)", "m"),
+    (_word("rn", r"(?=\s)"), "m"),
     (_word("cl"), "d"),
     (_word("vv"), "w"),
     (_word("ii"), "ll"),
@@ -68,7 +75,7 @@ WORDS = [
     (_word("en", r"(?=\d)"), "en "),
 ]
 SYMBOLS = [("¦", "l"), ("§", "S"), ("¢", "c"), ("£", "E"), ("µ", "u"), ("¶", "P"), ("º", "o"), ("ª", "a")]
-CASES = [(rf"(?<={WORD_CHAR})l(?=[A-Z])", "I"), ("(?<=[A-Z])l(?=[A-Z])", "I")]
+CASES = [(_between("l", WORD_CHAR, "[A-Z]"), "I"), (_between("l", "[A-Z]", "[A-Z]"), "I")]
 JOINED = [(r"([a-záéíóúñ])(\d)", "$1 $2"), (r"(\d)([a-záéíóúñ])", "$1 $2"), ("([.,;:!?])([A-ZÁÉÍÓÚÑ])", "$1 $2")]
 ACCENTS = [(_word("ARTICULO"), "ARTÍCULO"), (_word("PAGINA"), "PÁGINA"), (_word("NUMERO"), "NÚMERO"), (_word("PARAGRAFO"), "PARÁGRAFO"), (_word(r"CAP\s*iTULO"), "CAPÍTULO")]
 DASHES = [("---+", "—"), ("--", "—"), ("_+", "_")]

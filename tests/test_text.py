@@ -185,3 +185,15 @@ def test_vocabulary_by_a_sent_and_by_a_joined_dictionary(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan(sent) and "SortMergeJoin" not in plan(sent)
     assert "SortMergeJoin" in plan(joined)
+
+
+def test_rules_begin_with_what_they_replace_and_match_as_plain_ones(spark):
+    assert not [p for p, _ in R.profile_rules() if p.startswith(("(?<", r"(?:\G", "(?="))]
+    w = r"[\p{L}\p{N}_]"
+    plain = [(rf"(?:\G|(?<!{w}))({w}++)-\s*[\r\n]+\s*([a-záéíóúüñ])", "$1$2"), (" +", " "), (rf"(?<!{w})l(?=\d)", "1"), (r"(?<=\d)O(?=\d)", "0"), (rf"(?<!{w})I\s+I(?!{w})", "II"), (rf"(?<={w})l(?=[A-Z])", "I"), (r"\n([^()\n]+)\)", "\n($1)")]
+    fast = [R.HYPHENATION[0], R.SPACING[0], R.LETTERS_AND_DIGITS[0], R.LETTERS_AND_DIGITS[1], R.ROMANS[0], R.CASES[0], R.PAIRS[3]]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([*"lIO1 -\n\r.()ab_é", "-\n", "-\na-\nb", " I I ", "  "]) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for a, b in zip(plain, fast, strict=True):
+        assert docs.where(F.regexp_replace("text", *a) != F.regexp_replace("text", *b)).isEmpty(), b
