@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import WORD_CHAR, composed, strip
+from pagemill.functions.text import WORD_CHAR, composed, replaced, strip
 from pagemill.operators.blocks import with_blocks
 
 # Heads of articles, fractions and subsections, and notes of amendments.
@@ -70,13 +70,26 @@ AMENDMENTS = [
     ("note", r"fe\s+de\s+erratas.*\d{1,2}"),
 ]
 PAGE_LINE = r"(?im)^\s*\d+\s+de\s+\d+\s*$"
+# Blanks that aren't one space already.
+BLANKS = r"[ \t]{2,}|\t"
 ABBREVIATIONS = ["Art", "Lic", "Inc", "Fracc", "Núm", "No", "C.P", "Sr", "Sra", "Dr", "Mtro", "Ing", "etc", "v.g", "i.e"]
+# Behind the dot, so that only dots are looked at.
+_GUARD = "".join(rf"(?<!{a.replace('.', chr(92) + '.')}\.)" for a in ABBREVIATIONS)
+PARAGRAPH_RULES = [
+    ("\r\n", "\n"),
+    (BLANKS, " "),
+    (r"([^\n])\n(\*[^\n]+\*)", "$1\n\n$2"),
+    (r"(\*[^\n]+\*)\n(?!\n)(?!\*)", "$1\n\n"),
+    (rf"\.(?=\s+[A-ZÁÉÍÓÚÑ]){_GUARD}\s+([A-ZÁÉÍÓÚÑ])(?!\n\n)", ".\n\n$1"),
+    (rf"\.(?=[A-ZÁÉÍÓÚÑ]){_GUARD}([A-ZÁÉÍÓÚÑ])(?!\n\n)", ".\n\n$1"),
+    (r"\n(?<!-\n)\n{2,}(?!-)", "\n\n"),
+]
 
 
 def normalize_legal(text: Column) -> Column:
     """Composed form, line feeds unified, lines of page numbers emptied, runs of blanks squeezed."""
     text = F.regexp_replace(F.regexp_replace(composed(text), "\r\n|\r", "\n"), PAGE_LINE, "")
-    return F.regexp_replace(text, r"[ \t]+", " ")
+    return F.regexp_replace(text, BLANKS, " ")
 
 
 def legal_lines(docs: DataFrame, text: str = "text", parity: bool = False) -> DataFrame:
@@ -121,7 +134,7 @@ def amendment_pattern(line: Column) -> Column:
         test = F.when(line.rlike(rf"(?iu){_LEAD}{p}"), F.lit(k)).otherwise(test)
     any_of = "|".join(f"(?:{p})" for _, p in AMENDMENTS)
     italic = strip(line).rlike(r"^\*[^*].*\*$")
-    return F.when(~italic & line.rlike(rf"(?iu){_LEAD}(?:{any_of})"), test)
+    return F.when(line.rlike(rf"(?iu){_LEAD}(?:{any_of})") & ~italic, test)
 
 
 def amendment_kind(pattern: Column) -> Column:
@@ -209,19 +222,7 @@ def article_intro(structured: DataFrame) -> DataFrame:
 
 def format_paragraphs(text: Column) -> Column:
     """Blank lines around amendments and between sentences, but not behind abbreviations; rules of dashes stay."""
-    guard = "".join(f"(?<!{a.replace('.', chr(92) + '.')})" for a in ABBREVIATIONS)
-    rules = [
-        ("\r\n", "\n"),
-        (r"[ \t]+", " "),
-        (r"([^\n])\n(\*[^\n]+\*)", "$1\n\n$2"),
-        (r"(\*[^\n]+\*)\n(?!\n)(?!\*)", "$1\n\n"),
-        (rf"{guard}\.\s+([A-ZÁÉÍÓÚÑ])(?!\n\n)", ".\n\n$1"),
-        (rf"{guard}\.([A-ZÁÉÍÓÚÑ])(?!\n\n)", ".\n\n$1"),
-        (r"(?<!-)\n{3,}(?!-)", "\n\n"),
-    ]
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
-    return strip(text)
+    return strip(replaced(text, PARAGRAPH_RULES))
 
 
 def rebuild_document(structured: DataFrame, separators: bool = False, parity: bool = False) -> DataFrame:
