@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import count_of, split_lines, strip
+from pagemill.sources.shared import written
 
 # Characters that tables are drawn with, and the weights of confidence.
 VERTICAL = "|│┃┆┇┊┋"
@@ -18,6 +19,8 @@ HORIZONTAL = "─━═-_"
 CORNERS = "┌┐└┘╔╗╚╝╭╮╰╯"
 CROSSES = "├┤┬┴┼╠╣╦╩╬"
 DECORATION = rf"^[{HORIZONTAL.replace('-', '')}{CORNERS}{CROSSES} -]+$"
+_MARKS = (VERTICAL + HORIZONTAL + CORNERS + CROSSES).replace("-", "") + "-"
+_TWO_MARKS = f"[{_MARKS}][^{_MARKS}]*+[{_MARKS}]"
 LEAST_CONFIDENCE = 0.6
 _CELL = ""
 
@@ -29,8 +32,7 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def is_table_like(line: Column) -> Column:
     """Whether a line has two table characters or more: a vertical one, or a horizontal one and five in all."""
-    count = count_of(line, VERTICAL + HORIZONTAL + CORNERS + CROSSES)
-    return (strip(line) != "") & (count >= 2) & ((count_of(line, VERTICAL) > 0) | ((count_of(line, HORIZONTAL) > 0) & (count >= 5)))
+    return line.rlike(_TWO_MARKS) & ((count_of(line, VERTICAL) > 0) | ((count_of(line, HORIZONTAL) > 0) & (count_of(line, VERTICAL + HORIZONTAL + CORNERS + CROSSES) >= 5)))
 
 
 def islands(lines: DataFrame) -> DataFrame:
@@ -39,13 +41,14 @@ def islands(lines: DataFrame) -> DataFrame:
     ahead = by_line.rowsBetween(Window.unboundedPreceding, -1)
     flagged = lines.withColumn("like", is_table_like(F.col("line")))
     flagged = flagged.withColumn("previous", F.last(F.when(F.col("like"), F.col("line_no")), ignorenulls=True).over(ahead))
-    flagged = flagged.withColumn("blank_before", strip(F.coalesce(F.lag("line").over(by_line), F.lit(""))) == "")
+    flagged = flagged.withColumn("before", F.coalesce(F.lag("line").over(by_line), F.lit("")))
     gap = F.col("line_no") - F.col("previous") - 1
-    starts = F.col("like") & (F.col("previous").isNull() | (gap > 1) | ((gap == 1) & F.col("blank_before")))
+    starts = F.col("like") & (F.col("previous").isNull() | (gap > 1) | ((gap == 1) & (strip(F.col("before")) == "")))
     flagged = flagged.withColumn("island", F.sum(starts.cast("long")).over(by_line))
     flagged = flagged.withColumn("until", F.max(F.when(F.col("like"), F.col("line_no"))).over(Window.partitionBy("doc_id", "island")))
     kept = flagged.where((F.col("island") > 0) & (F.col("line_no") <= F.col("until")))
-    found = kept.groupBy("doc_id", "island").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.array_sort(F.collect_list(F.struct("line_no", "line", "like"))).alias("lines"))
+    counts = F.array(*[count_of(F.col("line"), c) for c in VERTICAL])  # here once a line, as tails share lines
+    found = kept.groupBy("doc_id", "island").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.array_sort(F.collect_list(F.struct("line_no", "line", "like", counts.alias("counts")))).alias("lines"))
     return found.where(F.col("last_line") - F.col("first_line") >= 2)
 
 
@@ -66,17 +69,16 @@ def with_cells(lines: DataFrame, separator: str = "separator", parity: bool = Fa
 
 
 def _parsed(tails: DataFrame, least: float, parity: bool) -> DataFrame:
-    """Tails of islands that pass, of their lines `doc_id, island, last_line, start, line_no, line`: separator, content, confidence.
+    """Tails of islands that pass, of their lines `doc_id, island, last_line, start, line_no, line, counts`: separator, content, confidence.
 
     The main separator is the vertical character that is most frequent in the tail, of equals the first of VERTICAL.
     """
     tail = Window.partitionBy("doc_id", "island", "start")
-    counts = [F.struct(F.sum(count_of(F.col("line"), c)).over(tail).alias("n"), F.lit(-k).alias("order"), F.lit(c).alias("c")) for k, c in enumerate(VERTICAL)]
-    lines = tails.withColumn("best", F.array_max(F.array(*counts))).withColumn("separator", F.col("best.c")).drop("best")
+    counts = [F.struct(F.sum(F.get("counts", F.lit(k))).over(tail).alias("n"), F.lit(-k).alias("order"), F.lit(c).alias("c")) for k, c in enumerate(VERTICAL)]
+    lines = tails.withColumn("best", F.array_max(F.array(*counts))).withColumns({"separator": F.col("best.c"), "marks": F.get("counts", -F.col("best.order"))}).drop("best", "counts")
     lines = with_cells(lines, parity=parity)
-    marks = F.length("line") - F.length(F.replace(F.col("line"), F.col("separator"), F.lit("")))
     rows = F.collect_list(F.when(F.size("cells") > 0, F.struct("line_no", "cells")))
-    found = lines.groupBy("doc_id", "island", "last_line", "start", "separator").agg(F.array_sort(rows).alias("rows"), F.sum(F.length("line")).alias("chars"), F.sum(marks).alias("marks")).where(F.size("rows") >= 2)
+    found = lines.groupBy("doc_id", "island", "last_line", "start", "separator").agg(F.array_sort(rows).alias("rows"), F.sum(F.length("line")).alias("chars"), F.sum("marks").alias("marks")).where(F.size("rows") >= 2)
     found = found.withColumn("sizes", F.transform("rows", lambda r: F.size(r["cells"])))
     usual = F.array_max(F.transform(F.array_distinct("sizes"), lambda n: F.struct(F.size(F.filter("sizes", lambda m: m == n)).alias("k"), (-n).alias("n"))))
     found = found.withColumn("usual", usual)
@@ -91,10 +93,10 @@ def find_tables(lines: DataFrame, least: float = LEAST_CONFIDENCE, parity: bool
 
     Confidence is 0.4 of the share of rows with the usual number of cells, 0.3 of the separators (a tenth of the
     characters is enough), and 0.3 for two rows and two columns. Whole islands are tried first; only those that fail are
-    tried from their later table-like lines.
+    tried from their later table-like lines. Islands are written, as three steps read them.
     """
-    found = islands(lines)
-    opened = lambda df, start: df.select("doc_id", "island", "last_line", start.alias("start"), F.explode("lines").alias("l")).select("doc_id", "island", "last_line", "start", "l.line_no", "l.line").where("line_no >= start")
+    found = written(islands(lines), "islands")
+    opened = lambda df, start: df.select("doc_id", "island", "last_line", start.alias("start"), F.explode("lines").alias("l")).select("doc_id", "island", "last_line", "start", "l.line_no", "l.line", "l.counts").where("line_no >= start")
     whole = _parsed(opened(found, F.col("first_line")), least, parity)
     failed = found.hint("merge").join(whole.select("doc_id", "island").hint("merge"), ["doc_id", "island"], "left_anti")
     starts = F.transform(F.filter("lines", lambda x: x["like"] & (x["line_no"] > F.col("first_line")) & (F.col("last_line") - x["line_no"] >= 2)), lambda x: x["line_no"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import strip
 from pagemill.operators import legal as L
+from pagemill.operators import tables as T
 
 
 def test_paragraph_rules_begin_with_what_they_replace(spark):
@@ -21,3 +22,15 @@ def test_paragraph_rules_begin_with_what_they_replace(spark):
         want = F.regexp_replace(want, pattern, replacement)
     rows = spark.createDataFrame([*texts, (None,)], "text string").select(strip(want).alias("want"), L.format_paragraphs(F.col("text")).alias("got"))
     assert rows.where(~F.col("want").eqNullSafe(F.col("got"))).isEmpty()
+
+
+def test_table_like_lines_and_islands_that_are_read_once(spark):
+    rng = random.Random(2)
+    texts = [(k, "\n".join(rng.choices(["| a | b |", "|--|--|", "| c | d |", "-----", "a-b", "", " ", "word", "│ e │ f │", "a | b", "\t| "], k=rng.randint(0, 14)))) for k in range(400)]
+    lines = T.lines_of(spark.createDataFrame([*texts, (400, None)], "doc_id long, text string"))
+    vertical, horizontal, marks = (F.length("line") - F.length(F.translate("line", c, "")) for c in (T.VERTICAL, T.HORIZONTAL, T.VERTICAL + T.HORIZONTAL + T.CORNERS + T.CROSSES))
+    plain = (strip(F.col("line")) != "") & (marks >= 2) & ((vertical > 0) | ((horizontal > 0) & (marks >= 5)))
+    assert lines.where(~plain.eqNullSafe(T.is_table_like(F.col("line")))).isEmpty()
+    # the plan of tables reads islands that are written, and no text
+    plan = T.find_tables(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan.replace("split(replace", "") and "/islands-" in T.find_tables(lines).inputFiles()[0]
