@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pagemill.llm.shared import kept
+
 END_ID = 2
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Words that a worker remembers; past it, it forgets the later half. Memory only: the ids don't depend on it.
@@ -113,14 +115,9 @@ class WordEncoder:
         return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def slices(texts: pa.Array, most: int = 1 << 22):
@@ -138,3 +135,4 @@ def encoded(texts: pa.Array, path: str):
     for begin, end in slices(texts):
         ids, bounds = encoder(path).encode(texts[begin:end])
         yield begin, np.insert(ids, bounds[1:], END_ID), bounds + np.arange(len(bounds))
+    pa.default_memory_pool().release_unused()

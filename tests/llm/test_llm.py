@@ -5,6 +5,7 @@ import os
 import random
 import re
 import string
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -17,7 +18,7 @@ from pagemill.llm.components import connected, pair_units
 from pagemill.llm.decontamination import Phrases, find_contamination, with_verdict
 from pagemill.llm.fm_index import FMIndex
 from pagemill.llm.language_id import identify, op7_language_id, train
-from pagemill.llm.shared import shared_folder
+from pagemill.llm.shared import shared_folder, small
 from pagemill.llm.tokens import encoder, tokenizer_path
 from pagemill.llm.words import lines_of
 
@@ -51,6 +52,15 @@ def test_tokens_equal_the_library():
         assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_workers_let_go_of_the_tokenizer_for_other_operators():
+    """What packing's tasks kept stayed in workers that language ID's tasks were handed, beyond an executor's memory."""
+    held = weakref.ref(encoder(tokenizer_path()))
+    encoder(tokenizer_path()).encode(pa.array(["some words"]))
+    assert held() is not None
+    assert next(small(iter([pa.record_batch({"a": [1]})]))).num_rows == 1
+    assert held() is None
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind, tmp_path):
     docs = [np.random.default_rng(k).integers(0, 60_000, n).astype(np.uint32) for k, n in enumerate((0, 5, 100, 1, 333))]
