@@ -28,9 +28,9 @@ LEVEL = 3
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
     """Four byte planes or 32 bit planes of unsigned 32-bit ids, lowest first."""
-    octets = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     if kind == "byte":
-        return [octets[:, k].tobytes() for k in range(4)]
+        return [(ids >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4)]
+    octets = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     bits = np.unpackbits(octets, axis=1, bitorder="little")
     return [np.packbits(bits[:, k], bitorder="little").tobytes() for k in range(32)]
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import line_dedup, minhash_join, multiset_hash, packing, secrets, suffix_dedup, token_planes, warc
+from pagemill.llm import line_dedup, minhash_join, multiset_hash, packing, secrets, suffix_dedup, token_planes, tokens, warc
 from pagemill.llm.components import connected, pair_units
 from pagemill.llm.decontamination import Phrases, find_contamination, with_verdict
 from pagemill.llm.fm_index import FMIndex
@@ -52,6 +52,30 @@ def test_tokens_equal_the_library():
         assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_words_met_first_stay_remembered(monkeypatch):
+    """A full memory dropped its later half, whose words were encoded again and again."""
+    plain, asked = tokens.WordEncoder(tokenizer_path()), []
+    words = tokens.WordEncoder(tokenizer_path(), cached_words=40)
+    whole = words._whole
+    monkeypatch.setattr(words, "_whole", lambda text: asked.append(text) or whole(text))
+    one, other = (" ".join(f"{letter}{k}{letter}" for k in range(30)) for letter in "pq")
+    for text, again in ((one, True), (other, True), (one, False), (other, True), (other, False)):
+        asked.clear()
+        assert words.encode(pa.array([text]))[0].tolist() == plain._whole(text).tolist()
+        assert bool(asked) == again
+
+
+def test_tokens_in_parts_are_as_alone(monkeypatch):
+    texts = [prose(40), None, "a  b", "", "\tx", *(prose(9) for _ in range(30)), "y<|endoftext|>", prose(40), ""]
+    words = encoder(tokenizer_path())
+    want = [words._whole(t or "").tolist() for t in texts]
+    for run, part in ((1 << 24, 100), (300, 100), (300, 1)):
+        monkeypatch.setattr(tokens, "RUN", run)
+        monkeypatch.setattr(tokens, "SLICE", part)
+        found = {begin + k: ids[a:b].tolist() for begin, ids, bounds in tokens.encoded(pa.array(texts), tokenizer_path()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))}
+        assert [found[k] for k in range(len(texts))] == [[*x, tokens.END_ID] for x in want]
+
+
 def test_workers_let_go_of_the_tokenizer_for_other_operators():
     """What packing's tasks kept stayed in workers that language ID's tasks were handed, beyond an executor's memory."""
     held = weakref.ref(encoder(tokenizer_path()))
