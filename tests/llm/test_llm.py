@@ -52,6 +52,29 @@ def test_tokens_equal_the_library():
         assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
 
 
+def test_lines_are_signed_once_a_batch(monkeypatch):
+    """Repeated lines were turned to letters twice, and each line was counted by itself."""
+    lines, seen = [x.encode() for x in ("some words that are here", "日本語 ééé and words of it", "tiny")], []
+    letters_of = line_dedup.letters_of
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.record_batch({"doc_id": [1, 2], "text_id": [5, 6], "text": ["\n".join(x.decode() for x in lines), "--\n" + lines[0].decode()]})
+            return [r for b in run(iter([batch])) for r in b.to_pylist()]
+
+    monkeypatch.setattr(line_dedup, "letters_of", lambda x: seen.append(list(x)) or letters_of(x))
+    rows = line_dedup._lines(Docs())
+    assert seen == [lines]
+    assert [(r["doc_id"], r["line"], r["level"], r["low"] is None) for r in rows] == [(1, 0, 0, False), (1, 1, 0, False), (1, 2, -1, True), (2, 1, 0, True)]
+    for row, x in zip(rows, letters_of(lines)[:2], strict=False):
+        counts = np.minimum(np.bincount(line_dedup._BIN[np.frombuffer(x, np.uint8)], minlength=line_dedup._BINS), 255)
+        assert np.array([row["low"], row["high"]]).tobytes() == bytes(counts.tolist()) + len(x).to_bytes(2, "little")
+        assert [row[f"b_{k}"] for k in range(line_dedup.BANDS)] == line_dedup.bands_of([x], 0).view(np.int32)[0].tolist()
+
+
 def test_words_met_first_stay_remembered(monkeypatch):
     """A full memory dropped its later half, whose words were encoded again and again."""
     plain, asked = tokens.WordEncoder(tokenizer_path()), []
