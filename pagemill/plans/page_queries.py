@@ -132,7 +132,7 @@ def written_files(spark, d):
     images = docs.where("doc_id % 7 = 0").select("doc_id", (k + 1).alias("page_num"), F.lit(0).alias("image_pos"), F.lit(None).cast("string").alias("image_base64"), F.lit(None).cast("string").alias("data_uri"), F.encode(F.concat(F.when(k % 2 == 0, "BM").otherwise("RIFF"), "text"), "UTF-8").alias("data"))
     folder = shared_folder(spark, "files")
     S.write_formats(whole, folder, ("md", "txt", "html"), images)
-    return read_files(spark, folder).select("name", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+    return read_files(spark, folder, empty=True).select("name", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
 _IMAGES = '[{"id": "a", "image_base64": "data:image/png;base64,AQ==", "annotation": {"image_type": "x", "short_description": "d"}}, {"image_id": "b", "annotations": [{"summary": "s"}, {"short_description": "e"}]}]'

@@ -105,10 +105,10 @@ class _Folder(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """Gives the files below a path but for hidden ones: `path, length`, or the content of those that aren't empty by their name below a task's folder."""
+    """Gives the files below a path but for hidden ones: `path, length`, or the content by the name below a task's folder, of empty ones if asked for."""
 
-    def __init__(self, uri: str, content: bool):
-        self._uri, self._content = uri.rstrip("/"), content
+    def __init__(self, uri: str, content: bool, empty: bool = True):
+        self._uri, self._content, self._empty = uri.rstrip("/"), content, empty
 
     def _listed(self, fs: pafs.FileSystem, path: str) -> Iterator[tuple[str, bool, int | None]]:
         """(path, whether it is a folder, length) of what a folder has; local ones are not held whole, and only files of a status are asked for it."""
@@ -141,7 +141,7 @@ class _Reader(DataSourceReader):
         scheme = "file:" if scheme == "file://" else scheme
         rows, held = [], 0
         for path, length in self._files(fs, partition):
-            if self._content and not length:
+            if not length and not self._empty:
                 continue
             if self._content:
                 with fs.open_input_stream(path) as f:
@@ -185,7 +185,7 @@ class RowFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> _Reader:
-        return _Reader(self.options["path"], content=True)
+        return _Reader(self.options["path"], content=True, empty=self.options.get("empty") == "true")
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
         if overwrite:
@@ -199,13 +199,13 @@ def write_files(files: DataFrame, path: str) -> None:
     files.select(F.col("name").cast("string"), F.col("content").cast("binary").alias("content")).write.format(FORMAT).mode("append").save(path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """`name, content` of the files that write_files has put below a path, but for empty ones, which Spark's readers pass over too.
+def read_files(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
+    """`name, content` of the files that write_files has put below a path; with `empty` those without content too, which Spark's readers pass over.
 
     A task reads the folder of the task that wrote it.
     """
     spark.dataSource.register(RowFiles)
-    return spark.read.format(FORMAT).load(path)
+    return spark.read.format(FORMAT).option("empty", empty).load(path)
 
 
 def file_status(spark: SparkSession, path: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_laws_by_their_text(spark, tmp_path, name):
     assert rows[0] == rows[1]
 
 
-@pytest.mark.parametrize("name", ["table_lines"])
+@pytest.mark.parametrize("name", ["table_lines", "written_files"])
 def test_texts_that_are_empty_or_end_in_a_line_end(spark, tmp_path, name):
     texts = ["", "uno", "\n", "", "a | b |\r\n| c\x0bd |", "dos\n\n"]
     docs = spark.createDataFrame([(7 * k, t, "es", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
